@@ -161,3 +161,56 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, kind))
+
+
+def bounded_sample(rows: DataFrame, label: str, most: int, per_label: int) -> DataFrame:
+    """Distinct doc_ids by label: of each label the per_label first by a hash of doc_id, and at most ``most`` in all.
+
+    The ranking runs on (label, doc_id) alone, and within tasks first, so a
+    common label's rows do not meet.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    spark = rows.sparkSession
+    n = rows.select(label).distinct().limit(most + 1).count()
+    keep = max(1, min(per_label, most // max(n, 1)))
+    hashed = rows.select(label, "doc_id", F.xxhash64("doc_id", F.lit(7)).alias("_h"))
+    inner = Window.partitionBy(label, F.pmod("_h", F.lit(64))).orderBy("_h", "doc_id")
+    outer = Window.partitionBy(label).orderBy("_h", "doc_id")
+    some = hashed.withColumn("_r", F.row_number().over(inner)).filter(F.col("_r") <= keep)
+    some = some.withColumn("_r", F.row_number().over(outer)).filter(F.col("_r") <= keep).limit(most)
+    return spark.createDataFrame(sorted({r["doc_id"] for r in some.select("doc_id").collect()}), "long").toDF("doc_id") if n else some.select("doc_id")
+
+
+def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """Connected components of edges (a, b): rows (node, root), root the least node of each component.
+
+    Large-star and small-star contraction in turn (Kiveris et al., "Connected
+    components in MapReduce and beyond"), each round checkpointed, until no
+    edge changes.  Work a round is in proportion to the edges.
+    """
+    from pyspark.sql import functions as F
+
+    def star(links: DataFrame) -> DataFrame:
+        least = links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        return links.join(least, "a")
+
+    def total(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a") % 1000003)).first())
+
+    edges = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = total(edges)
+    for _ in range(most_rounds):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = star(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        small = star(large).select("a", "b", "m")
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
+        edges = checkpoint(small.filter("a <> b").distinct())
+        now = total(edges)
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("components did not settle")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
