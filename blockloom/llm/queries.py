@@ -7,9 +7,10 @@ from .jaccard_join import op8_jaccard_join
 from .language_id import op2_language_id
 from .packing import op5_best_fit_packing
 from .quality import op6_quality_rules
+from .suffix_dedup import op1_suffix_dedup
 from .token_output import op7_token_output
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op5_best_fit_packing, op6_quality_rules, op7_token_output, op8_jaccard_join, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op5_best_fit_packing, op6_quality_rules, op7_token_output, op8_jaccard_join, op10_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
