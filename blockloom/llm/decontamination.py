@@ -218,51 +218,86 @@ def hits(block: Block, windows: Windows, found: tuple[np.ndarray, np.ndarray, np
     return place[at], window, row
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and the merged removal spans in bytes."""
-    spark = docs.sparkSession
-    pattern_blocks, block, size = [], [], 0
+def _pattern_blocks(benchmark: DataFrame, window: int, block_words: int) -> list:
+    """The items' windows in broadcast blocks of bounded size, read one block at a time."""
+    spark = benchmark.sparkSession
+    made, block, size = [], [], 0
     for item in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).orderBy("i", "t").toLocalIterator():
         block.append((item["i"], item["t"]))
         size += len(item["t"] or "") // 2 + 1
         if size >= block_words:
-            pattern_blocks.append(spark.sparkContext.broadcast(Windows(block, window)))
+            made.append(spark.sparkContext.broadcast(Windows(block, window)))
             block, size = [], 0
     if block:
-        pattern_blocks.append(spark.sparkContext.broadcast(Windows(block, window)))
+        made.append(spark.sparkContext.broadcast(Windows(block, window)))
+    return made
+
+
+def scan_shard(shard: Block, pattern_blocks: list[Windows], hasher: SpanHash) -> tuple[np.ndarray, np.ndarray, list[set[str]], np.ndarray, np.ndarray, np.ndarray]:
+    """Per row the numbers of words and hit words and the matching items; and the merged spans: row, first and end byte in the row."""
+    n = len(shard)
+    found = words(LOWER[shard.buf], shard.offsets, hasher)
+    starts, ends, _ = found
+    depth = np.zeros(len(starts) + 1, np.int64)
+    row = shard.rows_of(starts)
+    matched: list[set[str]] = [set() for _ in range(n)]
+    for windows in pattern_blocks:
+        at, which, _ = hits(shard, windows, found)
+        depth += np.bincount(at, minlength=len(depth)) - np.bincount(at + windows.lengths[which], minlength=len(depth))
+        each = ragged(windows.first_item[which], windows.n_items[which])
+        n_items = max(len(windows.item_ids), 1)
+        pairs = np.unique(np.repeat(row[at], windows.n_items[which]) * n_items + windows.flat_items[each])
+        for r, i in zip((pairs // n_items).tolist(), (pairs % n_items).tolist(), strict=True):
+            matched[r].add(windows.item_ids[i])
+    hit = np.cumsum(depth[:-1]) > 0
+    bounds = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    a, b = spans(hit, np.append(bounds, len(hit)))
+    of = row[a]
+    return np.bincount(row, minlength=n), np.bincount(row[hit], minlength=n), matched, of, starts[a] - shard.offsets[of], ends[b - 1] - shard.offsets[of]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and the merged removal spans in bytes."""
+    pattern_blocks = _pattern_blocks(benchmark, window, block_words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHash()
         for shard in blocks(batches, limit=SHARD_BYTES):
-            n = len(shard)
-            found = words(LOWER[shard.buf], shard.offsets, hasher)
-            starts, ends, _ = found
-            depth = np.zeros(len(starts) + 1, np.int64)
-            row = shard.rows_of(starts)
-            matched: list[set[str]] = [set() for _ in range(n)]
-            for windows in (b.value for b in pattern_blocks):
-                at, which, _ = hits(shard, windows, found)
-                depth += np.bincount(at, minlength=len(depth)) - np.bincount(at + windows.lengths[which], minlength=len(depth))
-                each = ragged(windows.first_item[which], windows.n_items[which])
-                pairs = np.unique(np.repeat(row[at], windows.n_items[which]) * len(windows.item_ids) + windows.flat_items[each])
-                for r, i in zip((pairs // max(len(windows.item_ids), 1)).tolist(), (pairs % max(len(windows.item_ids), 1)).tolist(), strict=True):
-                    matched[r].add(windows.item_ids[i])
-            hit = np.cumsum(depth[:-1]) > 0
-            first_word = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-            a, b = spans(hit, np.concatenate([first_word, [len(hit)]]))
-            span_row = row[a]
-            byte_a, byte_b = starts[a] - shard.offsets[span_row], ends[b - 1] - shard.offsets[span_row]
-            n_spans = np.bincount(span_row, minlength=n)
-            pairs = pa.array(np.stack([byte_a, byte_b], 1).reshape(-1))
-            pair_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(a) + 1, 2), pa.int32()), pairs)
-            span_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_spans)]), pa.int32()), pair_lists)
+            n_words, n_hit, matched, of, a, b = scan_shard(shard, [x.value for x in pattern_blocks], hasher)
+            pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(a) + 1, 2), pa.int32()), pa.array(np.stack([a, b], 1).reshape(-1)))
+            span_lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=len(shard)))), pa.int32()), pairs)
             n_items = np.asarray([len(m) for m in matched], np.int64)
             shas = [hashlib.sha256(",".join(sorted(m)).encode()).hexdigest() for m in matched]
-            yield pa.record_batch([shard.ids, pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row[hit], minlength=n)), pa.array(n_items), pa.array(shas), pa.array(n_items >= min_items), span_lists], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+            yield pa.record_batch([shard.ids, pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(shas), pa.array(n_items >= min_items), span_lists], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>")
 
 
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs with the spans of benchmark windows cut from the texts, and n_chars, if there is one, following the text; other columns pass."""
+    pattern_blocks = _pattern_blocks(benchmark, window, block_words)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHash()
+        for shard in blocks(batches, limit=SHARD_BYTES):
+            *_, of, a, b = scan_shard(shard, [x.value for x in pattern_blocks], hasher)
+            texts: list[str | None] = shard.batch["text"].to_pylist()
+            for r in np.unique(of).tolist():
+                keep = np.ones(shard.offsets[r + 1] - shard.offsets[r], dtype=bool)
+                for x, y in zip(a[of == r].tolist(), b[of == r].tolist(), strict=True):
+                    keep[x:y] = False
+                texts[r] = shard.buf[shard.offsets[r] : shard.offsets[r + 1]][keep].tobytes().decode()
+            changed = {"text": pa.array(texts, pa.string())}
+            if len(of) and "n_chars" in shard.batch.schema.names:
+                chars = shard.batch["n_chars"].to_pylist()
+                for r in np.unique(of).tolist():
+                    chars[r] = len(texts[r])
+                changed["n_chars"] = pa.array(chars, shard.batch["n_chars"].type)
+            yield pa.record_batch([changed.get(c, shard.batch[c]) for c in shard.batch.schema.names], names=shard.batch.schema.names)
+
+    return docs.mapInArrow(cut, docs.schema)
+
+
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

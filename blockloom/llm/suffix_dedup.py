@@ -408,7 +408,7 @@ def _construct(fetched: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """Per document the figures and the text that is left."""
+    """Per document the figures, the text that is left, and the row it came in (null unless carried)."""
     per = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,18 +428,19 @@ def _cut(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
             left = [block.buf[a:b][~gone[a:b]].tobytes() for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)]
             n_bytes = np.diff(block.offsets)
             columns = [block.ids, n_bytes, block.per_row(gone), block.per_row(begins), [hashlib.sha256(x).hexdigest() for x in left]]
-            yield pa.record_batch([*map(pa.array, columns), pa.array(left, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.record_batch([*map(pa.array, columns), pa.array(left, pa.binary()), block.batch["row"]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    row = texts.schema["row"].dataType.simpleString()
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row {row}"
     out = texts.join(per, ["doc_id", "text_hash"], "left").mapInArrow(cut, schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, collection: int = COLLECTION) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, collection: int = COLLECTION, carry: list[str] | None = None) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), and row: the columns to carry."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text"), (F.struct(*carry) if carry else F.lit(0)).alias("row"))
     # Input partitions hold a bounded number of bytes, so buckets in proportion to them hold a bounded number of places.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * texts.rdd.getNumPartitions())
     found = checkpoint(_meet(_find_places(texts, buckets, length), hot))
@@ -450,4 +451,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, collec
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "row")
