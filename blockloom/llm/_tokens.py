@@ -9,6 +9,7 @@ gathers from the table.  ``tests/llm`` holds this against whole-text encoding.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -16,8 +17,11 @@ from tokenizers import Tokenizer
 from ._common import Block, ragged
 
 #: Words kept at a time; the table starts anew beyond this, so memory is bounded.
-TABLE_WORDS = 800_000
+TABLE_WORDS = 1_200_000
 VOCABULARY = "word_bpe_49k.json"
+#: New words that are one run of Latin letters, or one and a run of marks, are encoded so many to a text.
+TOGETHER = 64
+_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,!;:?%*&#$|]*)")
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -44,6 +48,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary_path(path))
         self.limit = table_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -52,12 +59,38 @@ class WordEncoder:
         self.lengths = np.zeros(0, np.int64)
 
     def _learn(self) -> None:
-        if not self.slots.new:
-            return
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in self.slots.new], add_special_tokens=False)]
+        new = [w.decode() for w in self.slots.new]
         self.slots.new.clear()
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found))])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), np.uint32)])
+        if not new:
+            return
+        # Numbers of word ends that plain words have; 0 for words that are encoded alone.
+        ends = np.fromiter((1 + bool(m[2]) if (m := _PLAIN.fullmatch(w)) else 0 for w in new), np.int64, len(new))
+        plain = np.flatnonzero(ends)
+        ids, counts = self._together([new[i] for i in plain], ends[plain])
+        alone = np.flatnonzero(ends == 0) if len(ids) or not len(plain) else np.arange(len(new))
+        if not len(ids):
+            plain = plain[:0]
+        single = [x.ids for x in self.tokenizer.encode_batch_fast([new[i] for i in alone], add_special_tokens=False)]
+        lengths = np.zeros(len(new), np.int64)
+        lengths[plain] = counts
+        lengths[alone] = np.fromiter(map(len, single), np.int64, len(single))
+        starts = np.cumsum(lengths) - lengths
+        out = np.empty(int(lengths.sum()), np.uint32)
+        out[ragged(starts[plain], counts)] = ids
+        out[ragged(starts[alone], lengths[alone])] = np.fromiter((i for x in single for i in x), np.uint32)
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, out])
+
+    def _together(self, plain: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words, and each word's number of ids, which the word-end marks of the ids tell."""
+        texts = [" ".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter((i for x in found for i in x), np.uint32)
+        last = np.flatnonzero(self.word_end[ids])
+        if len(last) != ends.sum():  # not a vocabulary of this kind: encode alone
+            return ids[:0], np.zeros(0, np.int64)
+        bounds = last[np.cumsum(ends) - 1] + 1 if len(ends) else last
+        return ids, np.diff(bounds, prepend=0)
 
     def __call__(self, block: Block, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, each row's followed by end_id, and the rows' numbers of ids."""
@@ -83,3 +116,13 @@ class WordEncoder:
         keep[np.cumsum(counts + 1) - 1] = False
         out[keep] = ids
         return out, counts + 1
+
+
+_ENCODERS: dict[str | None, WordEncoder] = {}
+
+
+def encoder(path: str | None = None) -> WordEncoder:
+    """This process's encoder of a vocabulary; a worker's later tasks find the words of its earlier ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]

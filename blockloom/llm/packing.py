@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import blocks, checkpoint, table
-from ._tokens import WordEncoder
+from ._tokens import encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
     """One row a piece: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(vocabulary)
+        encode = encoder(vocabulary)
         for block in blocks(batches):
             ids, counts = encode(block, end_id)
             ends = np.cumsum(counts)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import blocks, fresh_dir, ragged
-from ._tokens import WordEncoder
+from ._tokens import encoder
 
 SEQUENCE = 2048
 ROWS_A_BATCH = 512
@@ -101,7 +101,7 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, sequence: int = SE
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(vocabulary)
+        encode = encoder(vocabulary)
         kind = pa.uint16() if encode.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else pa.uint32()
         out = None
         for block in blocks(batches):
