@@ -29,17 +29,22 @@ def _each(result: T.DataType, one: Callable) -> Callable:
     if isinstance(result, T.StructType):
 
         def rows(*columns: pd.Series) -> pd.DataFrame:
-            made = [one(*values) for values in zip(*columns, strict=True)]
+            made = [one(*values) for values in zip(*map(_values, columns), strict=True)]
             return pd.DataFrame({f.name: pd.Series([None if m is None else m[f.name] for m in made], dtype=object) for f in result.fields})
 
         return F.pandas_udf(rows, result)
 
     def values(*columns: pd.Series) -> pd.Series:
-        return pd.Series([one(*v) for v in zip(*columns, strict=True)], dtype=object)
+        return pd.Series([one(*v) for v in zip(*map(_values, columns), strict=True)], dtype=object)
 
     return F.pandas_udf(values, result)
 
 
+def _values(column: pd.Series | pd.DataFrame):
+    """A column's values; a struct column comes as a frame and gives tuples."""
+    return column.itertuples(index=False, name=None) if isinstance(column, pd.DataFrame) else column
+
+
 def _null(v) -> bool:
     return v is None or v is pd.NA or (isinstance(v, float) and v != v)
 
