@@ -7,6 +7,7 @@ single longer text is never cut and makes a block of its own.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 # Fixed odd constants of the hashes; any odd values would do.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -78,7 +79,23 @@ class Block:
         return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", key: str = "doc_id", limit: int = BLOCK_BYTES) -> Iterator[Block]:
+    try:
+        yield from _blocks(batches, text, key, limit)
+    finally:
+        release()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], text: str, key: str, limit: int) -> Iterator[Block]:
     for batch in batches:
         if not batch.num_rows:
             continue

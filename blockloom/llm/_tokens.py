@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from ._common import Block, ragged
 
 #: Words kept at a time; the table starts anew beyond this, so memory is bounded.
-TABLE_WORDS = 1_200_000
+TABLE_WORDS = 700_000
 VOCABULARY = "word_bpe_49k.json"
 #: New words that are one run of Latin letters, or one and a run of marks, are encoded so many to a text.
 TOGETHER = 64

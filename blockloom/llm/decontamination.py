@@ -41,7 +41,7 @@ WINDOW = 8
 MIN_ITEMS = 2
 SAMPLE = 4
 BLOCK_WORDS = 200_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 3 << 20
 
 _BYTES = np.arange(256)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)

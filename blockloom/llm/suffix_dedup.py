@@ -50,7 +50,7 @@ ANCHOR = 32
 HOT = 20_000
 #: Chunks of a collection, and rows that a task combines before it sends them on.
 COLLECTION = 1_500
-COMBINE = 400_000
+COMBINE = 250_000
 BLOCK_BYTES = 2 << 20
 SPILL_BYTES = 256 << 20
 _PLACE_BITS = np.uint64(22)
