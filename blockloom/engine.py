@@ -107,7 +107,7 @@ class Engine:
     def explain(self, sql: str) -> str:
         """The plan of a statement, with paths of data files cut to their names."""
         plan = self.sql(sql)._jdf.queryExecution().toString()
-        return re.sub(r"[^\s\[,]*/([^/\s,\]]+\.parquet)", r"\1", plan)
+        return re.sub(r"(?:\w+:)?/(?:[^/\s,\[\]]+/)+([^/\s,\]]*)", r"\1", plan)
 
     def incremental(self, sql: str) -> planner.Incremental:
         """A statement prepared for running by block ranges; an error if it cannot be."""
