@@ -351,8 +351,13 @@ def _fetch(texts: DataFrame, found: DataFrame, collections: int, length: int) ->
             each_row = np.repeat(row[single], n[single])
             key = hasher(block.buf, each, each + length)
             doc, text = _doc_ids(block.ids), block.batch["text_hash"].to_numpy()
-            order = np.lexsort([each, text[each_row], doc[each_row], key])
-            each, each_row, key = each[order], each_row[order], key[order]
+            begin = each - block.offsets[each_row]
+            order = np.lexsort([begin, text[each_row], doc[each_row], key])
+            each, each_row, key, begin = each[order], each_row[order], key[order], begin[order]
+            # A row that came in twice is one place.
+            other = np.ones(len(key), dtype=bool)
+            other[1:] = (key[1:] != key[:-1]) | (doc[each_row[1:]] != doc[each_row[:-1]]) | (text[each_row[1:]] != text[each_row[:-1]]) | (begin[1:] != begin[:-1])
+            each, each_row, key = each[other], each_row[other], key[other]
             later = np.zeros(len(key), dtype=bool)
             later[1:] = key[1:] == key[:-1]
             row = np.concatenate([row[~single], each_row])
