@@ -259,7 +259,7 @@ def similarity_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     digests = checkpoint(_digests(texts))
     same = ["set_a", "set_b", "size"]
     classes = checkpoint(digests.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows"), F.min("sig").alias("sig")).filter("rep is not null"))
-    keys = checkpoint(_keys(classes, depth))
+    keys = _keys(classes, depth)
     # Each prefix group is tied to its least class.
     groups = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).filter("hub < far").select("key", "hub")
     tied = checkpoint(keys.join(groups, "key"))
