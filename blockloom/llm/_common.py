@@ -27,7 +27,17 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 _BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
+#: Arrow batches that go to Python hold so many bytes at most (one longer row makes a batch of its own).
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session by bytes, not only by rows: rows are whole texts here, of any length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -88,6 +98,18 @@ def release() -> None:
         pass
 
 
+def releasing(make):
+    """Let a task's generator give its memory back when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from make(batches)
+        finally:
+            release()
+
+    return run
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", key: str = "doc_id", limit: int = BLOCK_BYTES) -> Iterator[Block]:
     try:
         yield from _blocks(batches, text, key, limit)

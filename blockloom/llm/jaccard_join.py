@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Block, SpanHash, blocks, checkpoint, components, mix, table
+from ._common import Block, SpanHash, blocks, checkpoint, components, mix, releasing, table
 from .decontamination import LOWER, words
 
 WORDS = 5
@@ -133,7 +133,7 @@ def _keys(classes: DataFrame, depth: int) -> DataFrame:
             key = _prefixes(sig, depth)
             yield pa.record_batch([pa.array(np.repeat(batch["rep"].to_numpy(), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)), pa.array(key.view(np.int64).ravel())], names=["rep", "tree", "key"])
 
-    return classes.select("rep", "sig").mapInArrow(keyed, "rep long, tree int, key long")
+    return classes.select("rep", "sig").mapInArrow(releasing(keyed), "rep long, tree int, key long")
 
 
 def _prefixes(sig: np.ndarray, depth: int) -> np.ndarray:
@@ -234,7 +234,7 @@ def _compare(members: DataFrame, depth: int, threshold: tuple[int, int]) -> Data
 
     cols = ["tie", "tree", "i", "j", "rep", "n_rows", "block", "set", "sig"]
     dealt = members.select(*cols).repartition("tie", "tree", "i", "j").sortWithinPartitions("tie", "tree", "i", "j", "rep")
-    return dealt.mapInArrow(compare, "a long, b long, n long")
+    return dealt.mapInArrow(releasing(compare), "a long, b long, n long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:

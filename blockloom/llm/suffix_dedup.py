@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, blocks, checkpoint, mix, ragged, table
+from ._common import SpanHash, blocks, checkpoint, mix, ragged, releasing, table
 
 LENGTH = 100
 ANCHOR = 32
@@ -230,7 +230,7 @@ def _meet(sent: DataFrame, hot: int) -> DataFrame:
                 yield from bucket.add(places)
         yield from bucket.close()
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, _FOUND)
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(releasing(meet), _FOUND)
 
 
 def _column(n: int, kind: type) -> np.ndarray:
@@ -409,7 +409,7 @@ def _construct(fetched: DataFrame, length: int) -> DataFrame:
         if held:
             yield close()
 
-    return fetched.repartition("collection").sortWithinPartitions("collection").mapInArrow(construct, _RUN)
+    return fetched.repartition("collection").sortWithinPartitions("collection").mapInArrow(releasing(construct), _RUN)
 
 
 def _cut(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
@@ -432,17 +432,20 @@ def _cut(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
             begins[bounds] |= edge[bounds]
             left = [block.buf[a:b][~gone[a:b]].tobytes() for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)]
             n_bytes = np.diff(block.offsets)
+            # As text: what is left of a code point that lost a byte goes too.
+            well_formed = [x.decode("utf-8", "ignore") for x in left] if carried else [None] * len(block)
             columns = [block.ids, n_bytes, block.per_row(gone), block.per_row(begins), [hashlib.sha256(x).hexdigest() for x in left]]
-            yield pa.record_batch([*map(pa.array, columns), pa.array(left, pa.binary()), block.batch["row"]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"])
+            yield pa.record_batch([*map(pa.array, columns), pa.array(left, pa.binary()), pa.array(well_formed, pa.string()), block.batch["row"]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", "row"])
 
     row = texts.schema["row"].dataType.simpleString()
-    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row {row}"
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, row {row}"
+    carried = row != "int"
     out = texts.join(per, ["doc_id", "text_hash"], "left").mapInArrow(cut, schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, collection: int = COLLECTION, carry: list[str] | None = None) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), and row: the columns to carry."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes); with columns to carry, kept_text (the same as text) and row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text"), (F.struct(*carry) if carry else F.lit(0)).alias("row"))
@@ -456,4 +459,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, collec
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "row")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "kept_text", "row")

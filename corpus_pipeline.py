@@ -20,13 +20,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import decontamination, jaccard_join, language_id, packing, suffix_dedup
-from blockloom.llm._common import blocks, fresh_dir, table
+from blockloom.llm._common import blocks, bounded_batches, fresh_dir, table
 
 #: The least margin between the best language and the next; below it a text has no language.
 MIN_MARGIN = 0.005
@@ -41,6 +40,7 @@ def _columns(docs: DataFrame, text: Column) -> list[Column]:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     model = spark.sparkContext.broadcast(language_id.fit(docs))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,28 +53,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     classes = jaccard_join.similarity_classes(docs)
     gone = classes.filter("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     left = suffix_dedup.remove_repeats(docs, carry=others)
-    # What is left of a code point that lost a byte goes too.
-    return left.select(_columns(docs, _decoded(F.col("kept"))))
-
-
-@F.pandas_udf("string")
-def _decoded(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+    return left.select(_columns(docs, F.col("kept_text")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return decontamination.remove_spans(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return packing.pack(docs)
 
 
