@@ -202,11 +202,15 @@ def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, kind))
 
 
+#: The most bytes of text that a training sample has.
+SAMPLE_BYTES = 64 << 20
+
+
 def bounded_sample(rows: DataFrame, label: str, most: int, per_label: int) -> DataFrame:
     """Distinct doc_ids by label: of each label the per_label first by a hash of doc_id, and at most ``most`` in all.
 
-    The ranking runs on (label, doc_id) alone, and within tasks first, so a
-    common label's rows do not meet.
+    The ranking runs on (label, doc_id) alone, each pair once, and within tasks
+    first, so a common label's rows do not meet.
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
@@ -214,7 +218,7 @@ def bounded_sample(rows: DataFrame, label: str, most: int, per_label: int) -> Da
     spark = rows.sparkSession
     n = rows.select(label).distinct().limit(most + 1).count()
     keep = max(1, min(per_label, most // max(n, 1)))
-    hashed = rows.select(label, "doc_id", F.xxhash64("doc_id", F.lit(7)).alias("_h"))
+    hashed = rows.select(label, "doc_id").distinct().withColumn("_h", F.xxhash64("doc_id", F.lit(7)))
     inner = Window.partitionBy(label, F.pmod("_h", F.lit(64))).orderBy("_h", "doc_id")
     outer = Window.partitionBy(label).orderBy("_h", "doc_id")
     some = hashed.withColumn("_r", F.row_number().over(inner)).filter(F.col("_r") <= keep)
@@ -222,6 +226,21 @@ def bounded_sample(rows: DataFrame, label: str, most: int, per_label: int) -> Da
     return spark.createDataFrame(sorted({r["doc_id"] for r in some.select("doc_id").collect()}), "long").toDF("doc_id") if n else some.select("doc_id")
 
 
+def sampled_rows(rows: DataFrame, ids: DataFrame) -> list[dict]:
+    """The rows (doc_id, text, ...) of a sample's ids on the driver: one of each doc_id, the least, and at most SAMPLE_BYTES of text.
+
+    Shorter texts come first, so that a very long one displaces no other.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    fitting = rows.withColumn("_n", F.octet_length("text")).filter(F.col("_n") <= SAMPLE_BYTES)
+    one = fitting.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "_n", *others)).alias("_row")).select("doc_id", "_row.*")
+    shortest = Window.orderBy("_n", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return one.withColumn("_sum", F.sum("_n").over(shortest)).filter(F.col("_sum") <= SAMPLE_BYTES).select("doc_id", "text", *others).toArrow().to_pylist()
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the least node of each component.
 

@@ -13,7 +13,8 @@ one, white space to one, UTF-8 continuation bytes by their low five bits (which
 joins the cases of Latin letters), lead bytes to three.
 
 Fitting uses at most ``TRAIN_DOCS`` labelled documents, ``TRAIN_PER_LABEL`` a
-language; everything is scored, whole.
+language, and ``SAMPLE_BYTES`` of text; of rows with one doc_id the least trains;
+everything is scored, whole.
 
 Edge cases: ``und`` with score 0 if the text is null, empty or has no letter;
 with no usable training row every text is ``und``; repeated rows get equal
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Block, blocks, bounded_sample, table
+from ._common import Block, blocks, bounded_sample, sampled_rows, table
 
 TRAIN_DOCS = 4096
 TRAIN_PER_LABEL = 500
@@ -153,7 +154,7 @@ def fit(labelled: DataFrame, most: int = TRAIN_DOCS, per_label: int = TRAIN_PER_
     """A model from rows (doc_id, text, lang); None if no row has a text with a letter and a language."""
     usable = labelled.filter("text is not null and lang is not null and doc_id is not null")
     ids = bounded_sample(usable.select("doc_id", "lang"), "lang", most, per_label)
-    got = usable.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").toArrow().to_pylist()
+    got = sampled_rows(usable.select("doc_id", "text", "lang"), ids)
     got = sorted((r for r in got if has_letter(r["text"].encode())), key=lambda r: (hash_of(r["doc_id"]), r["text"], r["lang"]))[:most]
     return Model([r["text"].encode() for r in got], [r["lang"] for r in got]) if got else None
 

@@ -12,7 +12,7 @@ expected number of toxic tokens -- fitted on the training documents; tokens with
 a marginal of at least 0.5 give the offending character offsets.
 
 Fitting uses at most ``TRAIN_DOCS`` labelled documents, half of them for each
-label; every document is scored, over its whole text.
+label, and ``SAMPLE_BYTES`` of text; of rows with one doc_id the least text trains; every document is scored, over its whole text.
 
 Words are lower-cased runs of letters (apostrophes inside included).
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, bounded_sample, table
+from ._common import blocks, bounded_sample, sampled_rows, table
 from .language_id import hash_of, held_out
 
 TRAIN_DOCS = 6000
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> ChainMode
     """A model from documents and their labels (doc_id, toxic); None without both kinds of labelled text."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     ids = bounded_sample(marks, "toxic", most, most // 2)
-    got = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").toArrow().to_pylist()
+    got = sampled_rows(docs.filter("text is not null").select("doc_id", "text"), ids)
     toxic = {r["doc_id"]: r["toxic"] for r in marks.join(F.broadcast(ids), "doc_id").collect()}
     got = sorted(got, key=lambda r: (hash_of(r["doc_id"]), r["text"]))[:most]
     y = np.asarray([toxic[r["doc_id"]] for r in got], dtype=bool)

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from blockloom.llm import decontamination, jaccard_join, language_id, license_scan, packing, preferences, quality, suffix_dedup, token_output, toxicity
+from blockloom.llm import _common, decontamination, jaccard_join, language_id, license_scan, packing, preferences, quality, suffix_dedup, token_output, toxicity
 from blockloom.llm._common import blocks, components
 from blockloom.llm._tokens import WordEncoder
 
@@ -91,6 +91,21 @@ def test_language(spark, docs, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_training_sample_is_bounded(spark, monkeypatch):
+    """A row given thousands of times takes one place of the sample, and texts one budget of bytes."""
+    rows = [(7, "once and again", "en")] * 3000 + [(k, "word " * k, "en" if k % 2 else "de") for k in range(10, 40)] + [(8, "x" * 5000, "de"), (7, "a second text", "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ids = _common.bounded_sample(table, "lang", 20, 10)
+    assert ids.count() == 20
+    every = table.select("doc_id").distinct()
+    got = _common.sampled_rows(table, every)
+    assert len(got) == 32 and next(r for r in got if r["doc_id"] == 7)["text"] == "a second text"
+    monkeypatch.setattr(_common, "SAMPLE_BYTES", 1000)
+    got = _common.sampled_rows(table, every)
+    assert 8 not in {r["doc_id"] for r in got} and 900 < sum(len(r["text"]) for r in got) <= 1000
+    assert language_id.fit(table) is not None
+
+
 def test_language_held_out(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.op2_language_id(spark, "/root/testdata/sf0.01").join(table.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
