@@ -26,7 +26,6 @@ not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,30 +50,32 @@ def tokens(text: bytes) -> list[bytes]:
 STEMS = range(5, 11)
 
 
-def seed_words(texts: list[list[bytes]], toxic: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+def numbered(texts: Iterator[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
+    """The distinct words of all texts, and each text's words as their numbers."""
+    number: dict[bytes, int] = {}
+    rows = [np.asarray([number.setdefault(w, len(number)) for w in tokens(t)], np.int32) for t in texts]
+    return list(number), rows
+
+
+def seed_words(lexicon: list[bytes], rows: list[np.ndarray], toxic: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Words and word stems whose documents are toxic far more often than documents are: in 4 (stems: 8) toxic documents at least, with a lower confidence bound of their odds ratio above 4."""
     n_bad, n_good = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
+    own = [np.unique(r) for r in rows]
+
+    def chosen(names: list[bytes], features: Iterator[np.ndarray], least: int) -> list[bytes]:
+        counts = np.zeros((2, len(names)))
+        for found, t in zip(features, toxic, strict=True):
+            counts[int(t), found] += 1
+        b, a = counts
+        odds = np.log((a + 0.5) / (n_bad - a + 0.5)) - np.log((b + 0.5) / (n_good - b + 0.5))
+        spread = (1 / (a + 0.5) + 1 / (n_bad - a + 0.5) + 1 / (b + 0.5) + 1 / (n_good - b + 0.5)) ** 0.5
+        return sorted(names[k] for k in np.flatnonzero((a >= least) & (odds - 2.6 * spread > np.log(4))))
 
-    def chosen(features: list[set[bytes]], least: int) -> list[bytes]:
-        bad, good = Counter(), Counter()
-        for own, t in zip(features, toxic, strict=True):
-            if t:
-                bad.update(own)
-        frequent = {w for w, n in bad.items() if n >= least}
-        for own, t in zip(features, toxic, strict=True):
-            if not t:
-                good.update(own & frequent)
-        out = []
-        for w in frequent:
-            a, b = bad[w], good[w]
-            odds = np.log((a + 0.5) / (n_bad - a + 0.5)) - np.log((b + 0.5) / (n_good - b + 0.5))
-            spread = (1 / (a + 0.5) + 1 / (n_bad - a + 0.5) + 1 / (b + 0.5) + 1 / (n_good - b + 0.5)) ** 0.5
-            if odds - 2.6 * spread > np.log(4):
-                out.append(w)
-        return sorted(out)
-
-    sets = [set(words) for words in texts]
-    return chosen(sets, 4), chosen([{w[:k] for w in own for k in STEMS if len(w) > k} for own in sets], 8)
+    # Each word's stems by number; 0 stands for none.
+    stems: dict[bytes, int] = {b"": 0}
+    of = np.asarray([[stems.setdefault(w[:k], len(stems)) if len(w) > k else 0 for k in STEMS] for w in lexicon], np.int32).reshape(-1, len(STEMS))
+    distinct = (found[found > 0] for found in (np.unique(of[o]) for o in own))
+    return chosen(lexicon, iter(own), 4), chosen(list(stems), distinct, 8)
 
 
 class ChainModel:
@@ -209,21 +210,25 @@ class ChainModel:
         self.curve = w
 
 
-def train(texts: list[bytes], toxic: np.ndarray) -> ChainModel:
-    words = [tokens(t) for t in texts]
-    seeds, stems = seed_words(words, toxic)
-    common = Counter(w for row in words for w in set(row))
+def train(texts: Iterator[bytes], toxic: np.ndarray) -> ChainModel:
+    lexicon, words = numbered(texts)
+    seeds, stems = seed_words(lexicon, words, toxic)
+    times = np.zeros(len(lexicon), np.int64)
+    for row in words:
+        times[np.unique(row)] += 1
+    common = sorted(zip(times.tolist(), lexicon, strict=True), key=lambda p: (-p[0], p[1]))
     bad = set(seeds)
     plain = ChainModel([], stems)
-    vocabulary = seeds + [w for w, n in common.most_common(VOCABULARY) if n >= 5 and w not in bad and not plain.stem(w)]
+    vocabulary = seeds + [w for n, w in common[:VOCABULARY] if n >= 5 and w not in bad and not plain.stem(w)]
     model = ChainModel(vocabulary[: max(VOCABULARY, len(seeds))], stems)
     marked = {*(model.index[w] for w in seeds), *model.stems.values()}
+    coded = model.encode(lexicon)
     x, y = [], []
     width = 2 * WINDOW + 1
     for k, (row, t) in enumerate(zip(words, toxic, strict=True)):
         if len(row) < width:
             continue
-        codes = model.encode(row)
+        codes = coded[row]
         marks = np.flatnonzero(np.isin(codes, list(marked))).tolist()
         # Windows around marked tokens (at most 4 a document) and one by turns elsewhere.
         for centre in [*marks[:4], (k * 7919) % len(row)]:
@@ -232,7 +237,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> ChainModel:
             y.append([int(bool(t) and c in marked) for c in codes[a : a + width].tolist()])
     if x:
         model.fit(np.asarray(x), np.asarray(y))
-    model.calibrate(model.tag([model.encode(r) for r in words]), toxic.astype(float))
+    model.calibrate(model.tag([coded[r] for r in words]), toxic.astype(float))
     return model
 
 
@@ -244,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> ChainMode
     toxic = {r["doc_id"]: r["toxic"] for r in marks.join(F.broadcast(ids), "doc_id").collect()}
     got = sorted(got, key=lambda r: (hash_of(r["doc_id"]), r["text"]))[:most]
     y = np.asarray([toxic[r["doc_id"]] for r in got], dtype=bool)
-    return train([r["text"].encode() for r in got], y) if y.any() and not y.all() else None
+    return train((r["text"].encode() for r in got), y) if y.any() and not y.all() else None
 
 
 def tag(docs: DataFrame, model: ChainModel | None) -> DataFrame:
