@@ -150,6 +150,25 @@ def test_license(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_texts_and_notices(spark):
+    """The query's own set: full texts (some words changed, a copyright line before), headers and notices, each under its own name alone."""
+    known = license_scan.licenses()
+    cases = {}
+    for file in sorted(license_scan.TEXTS.glob("*.txt")):
+        text = file.read_text().split()
+        cases["Copyright 2020 A. Body " + " ".join("zzz" if i % 50 == 7 else w for i, w in enumerate(text)) + " and more"] = file.stem
+    for name in ("Apache-2.0", "MPL-2.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0"):
+        cases["x " + license_scan.NOTICES[name][0] + " y"] = name
+    for v in "123":
+        cases[f"This work is licensed under the GNU General Public License, version {v}."] = f"GPL-{v}.0"
+    cases |= {"// SPDX-License-Identifier: MIT": "MIT", "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "# SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT"}
+    cases |= {"This project is licensed under the MIT License - see LICENSE": "MIT", "distributed under the 3-Clause BSD License": "BSD-3-Clause", "Text under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", "Released under the BSD License.": "", "Licensed under CC BY 4.0": "CC-BY-4.0"}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = by_id(license_scan.scan(df, known))
+    assert [got[i].licenses for i in range(len(cases))] == list(cases.values())
+    assert min(r.n_matches for i, r in got.items() if list(cases.values())[i]) == 1
+
+
 def test_tokens_and_output(spark, docs, empty, tmp_path):
     encode = WordEncoder().tokenizer.encode
     folder = f"file://{tmp_path}/shards"
