@@ -3,7 +3,9 @@
 Document labels become labelled tokens first: a word is offending where it is
 far commoner, or begins with a stem far commoner, in toxic than in clean
 training documents (``seed_words``); its occurrences in toxic documents are tagged 1, all other tokens 0.  A two-state
-chain is then fitted on windows around the tagged tokens and on clean windows:
+chain is then fitted on windows that hold every occurrence of such a word, with
+its neighbours, wherever in a document it is, and on a window by turns elsewhere
+(``windows``; a document of fewer words than a window is one window):
 emissions from the word's, the previous and the next word's identity (words of
 no training evidence share one), transitions and start.  Forward-backward gives
 each token's marginal.  A document's score is a logistic curve of two
@@ -39,6 +41,7 @@ from .language_id import hash_of, held_out
 TRAIN_DOCS = 6000
 VOCABULARY = 4000
 WINDOW = 10
+FIT_WINDOWS = 20_000
 BLOCK_BYTES = 2 << 20
 WORD = re.compile(rb"[A-Za-z\x80-\xff]+(?:'[A-Za-z\x80-\xff]+)*")
 
@@ -140,29 +143,40 @@ class ChainModel:
         p = f * b
         return p[..., 1] / np.maximum(p.sum(-1), 1e-300), f, b
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """Sums over windows (sorted by falling length, -1 after their end) of the log-likelihood's gradients."""
+        there = x >= 0
+        unary = self.unary(x)
+        p, f, b = self.marginals(unary, there.sum(1))
+        gap = y - p
+        word = np.maximum(x, 0)
+        g_emit = np.zeros_like(self.emit)
+        g_emit[0] = np.bincount(word.ravel(), gap.ravel(), self.emit.shape[1])
+        g_emit[1] = np.bincount(word[:, :-1].ravel(), gap[:, 1:].ravel(), self.emit.shape[1])
+        g_emit[2] = np.bincount(word[:, 1:].ravel(), (gap[:, :-1] * there[:, 1:]).ravel(), self.emit.shape[1])
+        after = b[:, 1:].copy()
+        after[..., 1] *= np.exp(np.clip(unary[:, 1:], -30, 30))
+        pair = (f[:, :-1, :, None] * np.exp(self.trans) * after[:, :, None, :])[there[:, 1:]]
+        pair /= pair.sum((1, 2), keepdims=True)
+        seen = np.zeros((2, 2))
+        np.add.at(seen, (y[:, :-1][there[:, 1:]], y[:, 1:][there[:, 1:]]), 1.0)
+        return g_emit, float(gap.sum()), seen - pair.sum(0)
+
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> None:
-        """Gradient ascent (Adam) of the mean log-likelihood of windows of equal length."""
-        n, t = x.shape
+        """Gradient ascent (Adam) of the mean log-likelihood of windows, -1 after their end, FIT_WINDOWS at a time."""
+        n = len(x)
         if not n:
             return
-        length = np.full(n, t)
+        order = np.argsort(-(x >= 0).sum(1), kind="stable")
+        x, y = x[order], y[order]
         state = [np.zeros_like(p) for p in (self.emit, np.zeros(1), self.trans)] * 2
         state = [s.copy() for s in state]
         for step in range(1, rounds + 1):
-            unary = self.unary(x)
-            p, f, b = self.marginals(unary, length)
-            gap = (y - p) / n
-            g_emit = np.zeros_like(self.emit)
-            g_emit[0] = np.bincount(x.ravel(), gap.ravel(), self.emit.shape[1])
-            g_emit[1] = np.bincount(x[:, :-1].ravel(), gap[:, 1:].ravel(), self.emit.shape[1])
-            g_emit[2] = np.bincount(x[:, 1:].ravel(), gap[:, :-1].ravel(), self.emit.shape[1])
-            after = b[:, 1:].copy()
-            after[..., 1] *= np.exp(np.clip(unary[:, 1:], -30, 30))
-            pair = f[:, :-1, :, None] * np.exp(self.trans) * after[:, :, None, :]
-            pair /= pair.sum((2, 3), keepdims=True)
-            seen = np.zeros((2, 2))
-            np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1.0)
-            grads = [g_emit - decay * self.emit / max(n, 1) - 1e-5 * self.emit, np.asarray([gap.sum()]), (seen - pair.sum((0, 1))) / n - decay * self.trans]
+            g_emit, g_bias, g_trans = np.zeros_like(self.emit), 0.0, np.zeros((2, 2))
+            for k in range(0, n, FIT_WINDOWS):
+                e, o, r = self.gradients(x[k : k + FIT_WINDOWS], y[k : k + FIT_WINDOWS])
+                g_emit, g_bias, g_trans = g_emit + e, g_bias + o, g_trans + r
+            grads = [g_emit / n - decay * self.emit / n - 1e-5 * self.emit, np.asarray([g_bias / n]), g_trans / n - decay * self.trans]
             values = [self.emit, np.asarray([self.bias]), self.trans]
             for i, g in enumerate(grads):
                 state[i] = 0.9 * state[i] + 0.1 * g
@@ -210,6 +224,22 @@ class ChainModel:
         self.curve = w
 
 
+def windows(codes: np.ndarray, marks: np.ndarray, turn: int) -> np.ndarray:
+    """Windows of a document's word numbers, -1 after its end: together they hold every marked word with both its neighbours, and one more is placed by turn."""
+    width, n = 2 * WINDOW + 1, len(codes)
+    if n <= width:
+        out = np.full((min(n, 1), width), -1, np.int32)
+        out[:, :n] = codes
+        return out
+    begins: list[int] = []
+    for m in np.flatnonzero(marks).tolist():
+        # Each window is centred on the first marked word that none before holds.
+        if not begins or m + 1 >= begins[-1] + width < n:
+            begins.append(min(max(m - WINDOW, 0), n - width))
+    begins.append(min(max(turn % n - WINDOW, 0), n - width))
+    return codes[np.asarray(begins)[:, None] + np.arange(width)].astype(np.int32)
+
+
 def train(texts: Iterator[bytes], toxic: np.ndarray) -> ChainModel:
     lexicon, words = numbered(texts)
     seeds, stems = seed_words(lexicon, words, toxic)
@@ -223,20 +253,16 @@ def train(texts: Iterator[bytes], toxic: np.ndarray) -> ChainModel:
     model = ChainModel(vocabulary[: max(VOCABULARY, len(seeds))], stems)
     marked = {*(model.index[w] for w in seeds), *model.stems.values()}
     coded = model.encode(lexicon)
+    offending = np.zeros(model.emit.shape[1], dtype=bool)
+    offending[list(marked)] = True
     x, y = [], []
-    width = 2 * WINDOW + 1
     for k, (row, t) in enumerate(zip(words, toxic, strict=True)):
-        if len(row) < width:
-            continue
         codes = coded[row]
-        marks = np.flatnonzero(np.isin(codes, list(marked))).tolist()
-        # Windows around marked tokens (at most 4 a document) and one by turns elsewhere.
-        for centre in [*marks[:4], (k * 7919) % len(row)]:
-            a = min(max(centre - WINDOW, 0), len(row) - width)
-            x.append(codes[a : a + width])
-            y.append([int(bool(t) and c in marked) for c in codes[a : a + width].tolist()])
+        own = windows(codes, offending[codes], k * 7919)
+        x.append(own)
+        y.append(((own >= 0) & offending[own] & bool(t)).astype(np.int8))
     if x:
-        model.fit(np.asarray(x), np.asarray(y))
+        model.fit(np.concatenate(x), np.concatenate(y))
     model.calibrate(model.tag([coded[r] for r in words]), toxic.astype(float))
     return model
 

@@ -122,6 +122,58 @@ def test_toxicity_held_out(spark, docs, empty):
     assert toxicity.tag(docs, None).filter("score > 0").count() == 0 and toxicity.tag(empty, None).count() == 0
 
 
+def test_toxicity_short_and_late():
+    """Documents of few words, and offending words behind many others, train the chain."""
+    r = np.random.default_rng(6)
+    filler = [f"w{c}{d}" for c in "abcdefgh" for d in "ijklmnop"]
+    some = lambda n: [filler[i] for i in r.integers(0, len(filler), n)]
+    bad = np.arange(400) % 2 == 0
+    short = [" ".join([*some(5), "grobnik", *some(3)] if t else some(9)).encode() for t in bad]
+    model = toxicity.train(iter(short), bad)
+    index = model.index[b"grobnik"]
+    assert model.emit[0][index] > 1  # learnt, not only counted
+    probe = [model.encode(toxicity.tokens(t.encode())) for t in ("wai grobnik wbj", "wai wck wbj")]
+    assert (model.score(model.tag(probe)) > 0.5).tolist() == [True, False]
+    marks = np.zeros(500, dtype=bool)
+    marks[[0, 3, 7, 30, 31, 90, 200, 201, 350, 499]] = True
+    for n in (500, 60, 22, 21, 9, 1, 0):
+        codes = np.arange(n, dtype=np.int32)
+        got = toxicity.windows(codes, marks[:n], 123)
+        assert got.shape[1] == 2 * toxicity.WINDOW + 1
+        for m in np.flatnonzero(marks[:n]):
+            assert any({max(m - 1, 0), m, min(m + 1, n - 1)} <= set(w[w >= 0].tolist()) for w in got)
+
+
+def test_chain_gradients():
+    """Gradients over windows of unequal length against differences of the likelihood, by brute force."""
+    from itertools import product
+
+    model = toxicity.ChainModel([b"a", b"b"], [])
+    r = np.random.default_rng(2)
+    model.emit, model.trans, model.bias = r.normal(size=(3, 3)), r.normal(size=(2, 2)), 0.3
+    x = np.asarray([[1, 2, 0, 1], [2, 1, -1, -1], [1, -1, -1, -1]], np.int32)
+    y = np.asarray([[0, 1, 1, 0], [1, 0, 0, 0], [1, 0, 0, 0]], np.int8)
+
+    def likelihood():
+        total = 0.0
+        for row, tags in zip(x, y, strict=True):
+            n = int((row >= 0).sum())
+            u = model.unary(row[None, :n])[0]
+            weigh = lambda t: sum(u[k] * t[k] for k in range(n)) + sum(model.trans[t[k], t[k + 1]] for k in range(n - 1))
+            total += weigh(tags) - np.log(sum(np.exp(weigh(t)) for t in product((0, 1), repeat=n)))
+        return total
+
+    got = model.gradients(x, y)
+    for values, grad in ((model.emit, got[0]), (model.trans, got[2])):
+        for i in np.ndindex(values.shape):
+            values[i] += 1e-5
+            up = likelihood()
+            values[i] -= 2e-5
+            low = likelihood()
+            values[i] += 1e-5
+            assert abs((up - low) / 2e-5 - grad[i]) < 1e-5
+
+
 def test_chain_marginals():
     """Forward-backward against the sum over all taggings."""
     rng = np.random.default_rng(1)
