@@ -15,6 +15,7 @@ from graphlib import CycleError, TopologicalSorter
 
 from .functions import abi
 from .plans.sqlfront import SqlError, tokenize
+from .sources.store import Table
 
 _REFERENCE = re.compile(r"(?:(?P<ns>[a-z0-9_]+)/)?(?P<name>[a-z0-9_]+)(?:@(?P<rev>[\w.+-]+))?")
 
@@ -132,9 +133,12 @@ class Registry:
         self.engine.register(table, df, f"{dataset.namespace}/{dataset.name}@{dataset.hash}", dataset.network)
 
     def publish(self, dataset: Dataset, tables: dict) -> None:
-        """Make a raw or static dataset's tables known under its content hash."""
+        """Make a raw or static dataset's tables (DataFrames, or store tables) known under its content hash."""
         for name, df in tables.items():
-            self._publish(dataset, name, df)
+            if isinstance(df, Table):
+                self.engine.register_store(name, df, f"{dataset.namespace}/{dataset.name}@{dataset.hash}", dataset.network)
+            else:
+                self._publish(dataset, name, df)
 
     def run(self, dataset: Dataset, stores: dict, **options) -> dict:
         """Materialise a derived dataset's tables, in order, into store tables; what each has done."""
@@ -144,7 +148,7 @@ class Registry:
         for table in dataset.order():
             self._prepared(dataset, table)
             done[table] = materialise(self.engine, self._statement(dataset, table), stores[table], **options)
-            self._publish(dataset, table, stores[table].snapshot())
+            self.engine.register_store(table, stores[table], f"{dataset.namespace}/{dataset.name}@{dataset.hash}", dataset.network)
         return done
 
 

@@ -13,9 +13,11 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chain import Segment
 from .functions import evm
 from .plans import planner
 from .plans.sqlfront import SqlError, Statement, Translator
+from .sources.store import Table
 
 BLOCK = "_block_num"
 
@@ -25,22 +27,31 @@ class Engine:
         self.spark = spark
         self.tables: dict[str, DataFrame] = {}
         self.networks: dict[str, str | None] = {}
+        self.chains: dict[str, list[Segment] | None] = {}
         self.default: dict[str, str] = {}
         self.user: dict[tuple[str, str], str] = {}
         self.prefix = f"bl{id(self):x}"
 
     # Registration -----------------------------------------------------------
 
-    def register(self, table: str, df: DataFrame, dataset: str | None = None, network: str | None = "main") -> str:
-        """Make a table known by name, or by dataset and name; network None for tables without blocks."""
+    def register(self, table: str, df: DataFrame, dataset: str | None = None, network: str | None = "main", chain: list[Segment] | None = None) -> str:
+        """Make a table known by name, or by dataset and name; network None for tables without blocks.
+
+        chain: the canonical segments that df has all rows of.  Without it a table counts as whole up to its last row only.
+        """
         if network is not None and BLOCK not in df.columns:
             raise SqlError(f"{table} has no {BLOCK}")
         view = f"{self.prefix}_{dataset or ''}.{table}".replace("`", "")
         df.createOrReplaceTempView(f"`{view}`")
-        self.tables[view], self.networks[view] = df, network
+        self.tables[view], self.networks[view], self.chains[view] = df, network, chain
         self.default.setdefault(table.lower(), view)
         return view
 
+    def register_store(self, table: str, store: Table, dataset: str | None = None, network: str | None = "main") -> str:
+        """Make a store table known as it is now, with the blocks that it has done, empty ones too."""
+        chain = store.canonical()  # before the rows, so that it claims none that they lack
+        return self.register(table, store.snapshot(), dataset, network, chain)
+
     def function(self, dataset: str, name: str, call: Callable, result: str) -> None:
         """A user's scalar function, called as dataset.name(...); Arrow-batched, deterministic."""
         flat = f"{self.prefix}_{re.sub(r'\W', '_', dataset)}_{name}"

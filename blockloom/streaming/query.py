@@ -1,7 +1,9 @@
 """Continuous queries: a driver-side loop of microbatches over ranges of blocks.
 
 Each round fixes the range -- from the cursor (or the block where a reorganised
-chain and the cursor's chain part) up to the least block that all tables have,
+chain and the cursor's chain part) up to the least block that all tables have
+(of a table registered with its segments, the end of the newest that the blocks
+table confirms, empty blocks included; of another, its last row's block),
 bounded by the end block and the longest interval -- and runs the statement's
 delta over it as an ordinary batch job.  Messages: start, data, end, and the
 watermark of the blocks that are complete.
@@ -81,6 +83,13 @@ class Blocks:
         row = self.canonical().filter(F.col("number") == number).select("hash").first()
         return row[0] if row else None
 
+    def confirms(self, number: int, own_hash: str) -> bool:
+        """Whether a segment's last block is on the chain."""
+        if not self.canonical:
+            return True
+        found = self.hash(number)
+        return found is not None and found.lower().removeprefix("0x") == own_hash.lower().removeprefix("0x")
+
     def parent(self, number: int, own_hash: str | None = None) -> str | None:
         if not self.canonical:
             return str(number - 1)
@@ -115,18 +124,29 @@ class StreamingQuery:
         self.position = cursor.at.get(self.network) if cursor else None
         self.start_block = start_block
 
+    def _synced(self, table: str) -> tuple[int, int] | None:
+        """A table's earliest block, and the latest up to which it is whole and the chain confirms it."""
+        chain = self.engine.chains[table]
+        if chain is None:
+            row = self.engine.tables[table].agg(F.min(BLOCK).alias("a"), F.max(BLOCK).alias("b")).first()
+            return None if row["a"] is None else (row["a"], row["b"])
+        for s in reversed(chain):
+            if self.blocks.confirms(s.range.end, s.range.hash):
+                return chain[0].range.start, s.range.end
+        return None
+
     def _bounds(self) -> tuple[int, int] | None:
-        """The earliest block of any table, and the latest that all have and the chain confirms."""
-        lows, highs = [], []
-        for t in self.tables:
-            row = self.engine.tables[t].agg(F.min(BLOCK).alias("a"), F.max(BLOCK).alias("b")).first()
-            if row["a"] is None:
+        """The earliest block of any table, and the latest that all have and the chain confirms; None if a table has none."""
+        spans = [self._synced(t) for t in self.tables]
+        if None in spans:
+            return None
+        highs = [high for _, high in spans]
+        if self.blocks.canonical:
+            top = self.blocks.latest()
+            if top is None:
                 return None
-            lows.append(row["a"])
-            highs.append(row["b"])
-        top = self.blocks.latest()
-        # A chain of blocks says how far the tables are whole even where they have no rows.
-        return min(lows), min(highs) if top is None else top
+            highs.append(top)
+        return min(low for low, _ in spans), min(highs)
 
     def next_range(self) -> tuple[BlockRange, bool] | None:
         bounds = self._bounds()

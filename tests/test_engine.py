@@ -196,6 +196,33 @@ def test_stream_with_reorg_and_consumers(spark, tmp_path):
     assert again.load() == store.load()
 
 
+def test_stream_waits_for_a_lagging_table(spark, tmp_path):
+    """A table behind the blocks table holds the end back; rows that come later are emitted, and empty blocks of its segments count."""
+    chain = SyntheticChain(20)
+    e, logs = Engine(spark), Table(spark, str(tmp_path / "logs"), T._parse_datatype_string(SCHEMAS["logs"]))
+    blocks = Blocks(lambda: fetch(spark, chain, "blocks", [(0, 20)], 2).selectExpr("block_num AS number", "lower(hex(hash)) AS hash", "lower(hex(parent_hash)) AS parent_hash"))
+    for stored in (False, True):
+        refresh = lambda stored=stored: e.register_store("logs", logs) if stored else e.register("logs", logs.snapshot())
+        logs.truncate()
+        extract(spark, chain, "logs", logs, 0, 9)
+        refresh()
+        query = StreamingQuery(e, "SELECT block_num FROM logs SETTINGS stream = true", blocks=blocks, refresh=refresh)
+        got = [m for m in query.rounds()]
+        assert [m.range.end for m in got if isinstance(m, MicrobatchEnd)] == [9]
+        seen = [r.block_num for m in got if isinstance(m, Data) for r in m.rows.collect()]
+        extract(spark, chain, "logs", logs, 0)
+        seen += [r.block_num for m in query.rounds() if isinstance(m, Data) for r in m.rows.collect()]
+        assert sorted(seen) == sorted(r.block_num for r in logs.snapshot().collect())
+    # Whole segments without rows, and one that the blocks table does not know.
+    last = logs.canonical()[-1].range
+    empty = Table(spark, str(tmp_path / "empty"), logs.schema)
+    empty.append(spark.createDataFrame([], logs.schema), BlockRange(0, 20, "main", last.hash, ""))
+    empty.append(spark.createDataFrame([], logs.schema), BlockRange(21, 25, "main", "unknown", last.hash))
+    e.register_store("none", empty)
+    query = StreamingQuery(e, "SELECT l.block_num FROM logs l JOIN none n ON l.tx_hash = n.tx_hash SETTINGS stream = true", blocks=blocks)
+    assert query._bounds() == (0, 20)
+
+
 def test_messages_and_protocol(spark):
     e, state = Engine(spark), {"chain": SyntheticChain(3)}
     got = list(chain_stream(spark, e, state, max_interval=3, end_block=3).messages())
