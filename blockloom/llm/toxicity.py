@@ -61,7 +61,12 @@ def numbered(texts: Iterator[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
 
 
 def seed_words(lexicon: list[bytes], rows: list[np.ndarray], toxic: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Words and word stems whose documents are toxic far more often than documents are: in 4 (stems: 8) toxic documents at least, with a lower confidence bound of their odds ratio above 4."""
+    """Words and word stems whose documents are toxic far more often than documents are: in 4 (stems: 8) toxic documents at least, with a lower confidence bound (2.6 deviations) of their odds ratio above 4.
+
+    The bound is that of the log-odds or, for words too rare for it, that of the
+    likelihood ratio of the toxic share among a word's documents, which a rare
+    word has ``p`` of at an odds ratio of 4.
+    """
     n_bad, n_good = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     own = [np.unique(r) for r in rows]
 
@@ -72,7 +77,11 @@ def seed_words(lexicon: list[bytes], rows: list[np.ndarray], toxic: np.ndarray)
         b, a = counts
         odds = np.log((a + 0.5) / (n_bad - a + 0.5)) - np.log((b + 0.5) / (n_good - b + 0.5))
         spread = (1 / (a + 0.5) + 1 / (n_bad - a + 0.5) + 1 / (b + 0.5) + 1 / (n_good - b + 0.5)) ** 0.5
-        return sorted(names[k] for k in np.flatnonzero((a >= least) & (odds - 2.6 * spread > np.log(4))))
+        p = 4 * n_bad / (4 * n_bad + n_good)
+        n = np.maximum(a + b, 1)
+        ratio = 2 * (a * np.log(np.maximum(a, 1) / (n * p)) + b * np.log(np.maximum(b, 1) / (n * (1 - p))))
+        sure = (odds - 2.6 * spread > np.log(4)) | ((a > n * p) & (ratio > 2.6**2))
+        return sorted(names[k] for k in np.flatnonzero((a >= least) & sure))
 
     # Each word's stems by number; 0 stands for none.
     stems: dict[bytes, int] = {b"": 0}

@@ -144,6 +144,16 @@ def test_toxicity_short_and_late():
             assert any({max(m - 1, 0), m, min(m + 1, n - 1)} <= set(w[w >= 0].tolist()) for w in got)
 
 
+@pytest.mark.parametrize(("bad", "good", "least"), [(3000, 3000, 16), (400, 4000, 4)])
+def test_rare_seed_words(bad, good, least):
+    """A word of no clean document is a seed from a small share of the toxic ones on; common and clean words are none."""
+    toxic = np.arange(bad + good) < bad
+    lexicon = [b"all", b"enough", b"few", b"half", b"clean"]
+    member = [np.ones(len(toxic), bool), np.arange(len(toxic)) < least, np.arange(len(toxic)) < least - 1, np.arange(len(toxic)) % 2 == 0, np.arange(len(toxic)) >= len(toxic) - 50]
+    rows = [np.flatnonzero(m).astype(np.int32) for m in np.stack(member, 1)]
+    assert toxicity.seed_words(lexicon, rows, toxic)[0] == [b"enough"]
+
+
 def test_chain_gradients():
     """Gradients over windows of unequal length against differences of the likelihood, by brute force."""
     from itertools import product
