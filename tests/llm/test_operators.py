@@ -67,6 +67,18 @@ def test_suffix_dedup(docs, empty, hot):
     assert suffix_dedup.remove_repeats(docs).count() == docs.count() and suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_order_in_files(monkeypatch):
+    """Columns in sequential files give the same order as columns in memory."""
+    r = np.random.default_rng(3)
+    sizes = r.integers(0, 120, 60)
+    buf = r.integers(97, 99, int(sizes.sum())).astype(np.uint8)
+    want = suffix_dedup.extend(buf, np.cumsum(sizes), sizes)
+    monkeypatch.setattr(suffix_dedup, "SPILL_BYTES", 64)
+    assert isinstance(suffix_dedup._column(100, np.int64), np.memmap)
+    got = suffix_dedup.extend(buf, np.cumsum(sizes), sizes)
+    assert all((x == y).all() for x, y in zip(want, got, strict=True))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("abc", max_size=15), min_size=1, max_size=8))
 def test_suffix_order(strings):
