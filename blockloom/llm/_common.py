@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 2 << 20
 
 # Fixed odd constants of the hashes; any odd values would do.
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
-_BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Moduli and bases of the span hashes: two primes below 2**31, so that products stay below 2**62.
+_MODULI = ((2**31 - 1, 1_299_709_357), (2**31 - 19, 1_618_033_988))
+#: Powers are kept for so many places; longer spans are summed piece by piece.
+SEGMENT = 1 << 16
 
 
 #: Arrow batches that go to Python hold so many bytes at most (one longer row makes a batch of its own).
@@ -157,27 +159,82 @@ def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends
 
 
+def _rest(x: np.ndarray, prime: np.uint64) -> np.ndarray:
+    """x modulo prime; dividing by a scalar is vectorised, the remainder is not."""
+    return x - x // prime * prime
+
+
+def _powers(base: int, prime: int) -> np.ndarray:
+    out, size = np.ones(SEGMENT, np.uint64), 1
+    while size < SEGMENT:
+        out[size : 2 * size] = _rest(out[:size] * np.uint64(pow(base, size, prime)), np.uint64(prime))
+        size *= 2
+    return out
+
+
 class SpanHash:
-    """64-bit hashes of byte spans from one running sum, so that all spans of a block cost the same few passes."""
+    """62-bit hashes of byte spans: polynomials modulo two primes, each from one running sum, so that all spans of a block cost the same few passes.
+
+    Different texts of n bytes share a hash with a chance of about (n / 2**31)**2 at
+    most; modulo a power of two some families of texts (Thue-Morse ones) would
+    always.  Where a result must be exact, bytes are compared as well (``span_ids``).
+    """
 
     def __init__(self) -> None:
-        self.power = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.power) <= n:
-            n = max(n + 1, 1 << 16)
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            for name, base in (("power", _BASE), ("inverse", inverse)):
-                out = np.full(n, base, np.uint64)
-                out[0] = 1
-                setattr(self, name, np.multiply.accumulate(out))
+        self.tables = [(np.uint64(p), _powers(b, p), _powers(pow(b, -1, p), p), np.uint64(pow(b, SEGMENT, p))) for p, b in _MODULI]
 
     def __call__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grow(len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[buf] * self.power[: len(buf)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        n = len(buf)
+        values = np.zeros((-(-n // SEGMENT), SEGMENT), np.uint64)
+        values.reshape(-1)[:n] = buf
+        values += np.uint64(1)
+        place = starts % SEGMENT
+        first = np.minimum(ends, starts - place + SEGMENT)
+        out = np.zeros(len(starts), np.uint64)
+        for prime, power, inverse, step in self.tables:
+            sums = np.zeros(n + 1, np.uint64)  # may wrap: a piece's own sum is below 2**56
+            np.cumsum((values * power).reshape(-1)[:n], out=sums[1:])
+            factor = inverse[place]
+            total = _rest(_rest(sums[first] - sums[starts], prime) * factor, prime)
+            at, more = first, np.flatnonzero(first < ends)
+            while len(more):
+                at = at.copy()
+                factor[more] = _rest(factor[more] * step, prime)
+                to = np.minimum(ends[more], at[more] + SEGMENT)
+                total[more] = _rest(total[more] + _rest(sums[to] - sums[at[more]], prime) * factor[more], prime)
+                at[more] = to
+                more = more[to < ends[more]]
+            out = (out << np.uint64(31)) | total
+        return mix(out)
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Whether the bytes of a from a_starts[i] are those of b from b_starts[i], lengths[i] each; some step bytes at a time."""
+    out = np.ones(len(lengths), dtype=bool)
+    sums = np.cumsum(lengths)
+    at = 0
+    while at < len(lengths):
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + step, side="right")))
+        x, y, n = a_starts[at:to], b_starts[at:to], lengths[at:to]
+        if to == at + 1:
+            out[at] = np.array_equal(a[x[0] : x[0] + n[0]], b[y[0] : y[0] + n[0]])
+        else:
+            differ = a[ragged(x, n)] != b[ragged(y, n)]
+            out[at:to][np.repeat(np.arange(to - at), n)[differ]] = False
+        at = to
+    return out
+
+
+def span_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: SpanHash) -> np.ndarray:
+    """A number for each span, from 0 on; equal numbers for equal bytes only: hashes propose, bytes decide."""
+    _, first, ids = np.unique(hasher(buf, starts, ends), return_index=True, return_inverse=True)
+    lead, lengths = first[ids], ends - starts
+    other = np.flatnonzero(lead != np.arange(len(lead)))
+    of = lead[other]
+    if (lengths[other] == lengths[of]).all() and same_bytes(buf, starts[other], buf, starts[of], lengths[other]).all():
+        return ids
+    number: dict[bytes, int] = {}
+    return np.fromiter((number.setdefault(buf[a:b].tobytes(), len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -10,19 +10,25 @@ left out.  Over what remains stand
 * every ``SAMPLE``-th text position of the suffix order.
 
 All windows of all items search backwards at once, one symbol a step; hits are
-located by walking back to a sampled position, then confirmed against the
-words themselves, and their spans are merged per document.
+located by walking back to a sampled position, then confirmed against the bytes
+of the words themselves, and their spans are merged per document.
 
 A window is 8 consecutive words of an item; an item of fewer words, but not
 none, is one window.  Words are lower-cased (A-Z only) runs of digits, letters
 and bytes from 0x80.
 
-The items are read in blocks of at most ``BLOCK_WORDS`` words, each searched in
-turn, so that what is broadcast at once is bounded.
+The items are read in blocks of at most ``BLOCK_WORDS`` windows (a longer item is
+cut, its windows shared out).  One block is on the driver, broadcast and in a
+worker at a time.  A benchmark of one block, the usual case, is searched for in
+the pass that writes the result.  One of more blocks takes a pass for each: the
+hits of a block, by a 128-bit digest of the text they are in, are written to the
+shared folder, the block's broadcast is destroyed, and the hits of all blocks
+meet their texts at the end.
 
 Edge cases: a null or empty text has no words and is clean; repeated rows are
 judged each by itself; an item id that comes twice counts once; null items have
-no windows; empty tables give no rows or no hits; other columns are not read.
+no windows, null item ids no name, so they hit words but are in no list; empty
+tables give no rows or no hits; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Block, SpanHash, blocks, ragged, spans, table
+from ._common import Block, SpanHash, blocks, fresh_dir, ragged, same_bytes, spans, table
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -55,40 +61,56 @@ def words(buf: np.ndarray, offsets: np.ndarray, hasher: SpanHash) -> tuple[np.nd
 
 
 class Windows:
-    """The distinct windows of some items: rows of symbols 1..V (0 pads in front), their lengths, and the items of each."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
-        texts = [LOWER[np.frombuffer((t or "").encode(), np.uint8)] for _, t in items]
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        buf = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
-        starts, _, hashes = words(buf, offsets, SpanHash())
-        self.vocabulary, symbol = np.unique(hashes, return_inverse=True)
-        symbol = symbol + 1
-        row = np.searchsorted(offsets, starts, side="right") - 1
+    """The distinct windows of some pieces of items: rows of symbols 1..V (0 pads in front), their lengths, and the items of each.
+
+    A symbol is a word, by its bytes; should two words share a hash, their bytes tell their symbols.
+    """
+
+    def __init__(self, pieces: list[tuple[str | None, list[bytes]]], window: int = WINDOW) -> None:
+        vocabulary = sorted({w for _, own in pieces for w in own})
+        self.sizes = np.asarray([0, *map(len, vocabulary)], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(vocabulary), np.uint8)
+        hashes = SpanHash()(self.bytes, self.starts[1:], self.starts[1:] + self.sizes[1:])
+        self.symbol_of = np.argsort(hashes, kind="stable") + 1
+        self.hashes = hashes[self.symbol_of - 1]
+        twice = np.unique(self.hashes[1:][self.hashes[1:] == self.hashes[:-1]])
+        self.ambiguous = {w: k + 1 for k, w in enumerate(vocabulary) if hashes[k] in twice}
+        self.twice = twice
+        number = {w: k + 1 for k, w in enumerate(vocabulary)}
         found: dict[tuple[int, ...], set[int]] = {}
-        self.item_ids = [i for i, _ in items]
-        for item in range(len(items)):
-            own = symbol[row == item].tolist()
+        names = sorted({i for i, _ in pieces if i is not None})
+        self.item_ids = names
+        rank = {i: k for k, i in enumerate(names)}
+        for item, own_words in pieces:
+            own = [number[w] for w in own_words]
             for a in range(max(1, len(own) - window + 1) if own else 0):
-                found.setdefault(tuple(own[a : a + window]), set()).add(item)
+                found.setdefault(tuple(own[a : a + window]), set()).update(() if item is None else (rank[item],))
         self.lengths = np.asarray([len(w) for w in found], np.int64)
         self.symbols = np.zeros((len(found), window), np.int64)
         for i, w in enumerate(found):
             self.symbols[i, window - len(w) :] = w
-        self.items = [sorted(x) for x in found.values()]
-        self.n_items = np.asarray([len(x) for x in self.items], np.int64)
-        self.flat_items = np.asarray([i for x in self.items for i in x], np.int64)
+        items = [sorted(x) for x in found.values()]
+        self.n_items = np.asarray([len(x) for x in items], np.int64)
+        self.flat_items = np.asarray([i for x in items for i in x], np.int64)
         self.first_item = np.cumsum(self.n_items) - self.n_items
 
     def __len__(self) -> int:
         return len(self.lengths)
 
-    def encode(self, hashes: np.ndarray) -> np.ndarray:
+    @property
+    def n_symbols(self) -> int:
+        return len(self.hashes)
+
+    def encode(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Symbols of words by hash; 0 for words that no item has."""
-        if not len(self.vocabulary):
+        if not len(self.hashes):
             return np.zeros(len(hashes), np.int64)
-        i = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[i] == hashes, i + 1, 0)
+        i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        out = np.where(self.hashes[i] == hashes, self.symbol_of[i], 0)
+        for k in np.flatnonzero(np.isin(hashes, self.twice)) if len(self.twice) else ():
+            out[k] = self.ambiguous.get(buf[starts[k] : ends[k]].tobytes(), 0)
+        return out
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -183,120 +205,215 @@ class FMIndex:
         return self.positions[self.nth[rows]] + steps
 
 
-def hits(block: Block, windows: Windows, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences of windows in a block: first word (number in the block), window number; and the words' rows."""
-    starts, _, hashes = found
-    row = block.rows_of(starts)
+def hits(buf: np.ndarray, row: np.ndarray, windows: Windows, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of windows among the words of lower-cased bytes: first word, and window number."""
+    starts, ends, hashes = found
     none = np.zeros(0, np.int64)
     if not len(windows) or not len(starts):
-        return none, none, row
-    symbol = windows.encode(hashes)
+        return none, none
+    symbol = windows.encode(hashes, buf, starts, ends)
     bounds = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     a, b = spans(symbol > 0, np.concatenate([bounds, [len(symbol)]]))
     long_enough = b - a >= windows.lengths.min()
     a, b = a[long_enough], b[long_enough]
     if not len(a):
-        return none, none, row
+        return none, none
     # The shard: each run of symbols and a separator.
     sizes = b - a + 1
-    ends = np.cumsum(sizes)
+    ends_of_runs = np.cumsum(sizes)
     place = ragged(a, sizes)
     text = symbol[np.minimum(place, len(symbol) - 1)]
-    text[ends - 1] = 0
-    index = FMIndex(text, len(windows.vocabulary))
+    text[ends_of_runs - 1] = 0
+    index = FMIndex(text, windows.n_symbols)
     lo, hi = index.search(windows.symbols, windows.lengths)
     n = np.maximum(hi - lo, 0)
     window = np.repeat(np.arange(len(n)), n)
-    at = index.locate(ragged(lo, n))
-    # Exact check of every located occurrence.
-    length = windows.lengths[window]
-    step = ragged(np.zeros(len(at), np.int64), length)
-    of = np.repeat(np.arange(len(at)), length)
-    same = text[at[of] + step] == windows.symbols[window[of], (windows.symbols.shape[1] - length)[of] + step]
-    if not same.all():
-        raise AssertionError("the index located a window where it is not")
-    return place[at], window, row
-
-
-def _pattern_blocks(benchmark: DataFrame, window: int, block_words: int) -> list:
-    """The items' windows in broadcast blocks of bounded size, read one block at a time."""
-    spark = benchmark.sparkSession
-    made, block, size = [], [], 0
-    for item in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).orderBy("i", "t").toLocalIterator():
-        block.append((item["i"], item["t"]))
-        size += len(item["t"] or "") // 2 + 1
-        if size >= block_words:
-            made.append(spark.sparkContext.broadcast(Windows(block, window)))
-            block, size = [], 0
+    at = place[index.locate(ragged(lo, n))]
+    # Exact check: the words of each distinct place in an occurrence have the bytes of their symbols.
+    touched = np.zeros(len(starts), dtype=bool)
+    touched[ragged(at, windows.lengths[window])] = True
+    own = np.flatnonzero(touched)
+    wanted = symbol[own]
+    size = ends[own] - starts[own]
+    right = size == windows.sizes[wanted]
+    right[right] = same_bytes(buf, starts[own[right]], windows.bytes, windows.starts[wanted[right]], size[right])
+    if not right.all():
+        wrong = np.zeros(len(starts) + 1, np.int64)
+        wrong[own[~right] + 1] = 1
+        wrong = np.cumsum(wrong)
+        keep = wrong[at + windows.lengths[window]] == wrong[at]
+        at, window = at[keep], window[keep]
+    return at, window
+
+
+def _pieces(benchmark: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The items' words in blocks of at most block_words windows, read one after another."""
+    block, size = [], 0
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).filter("t is not null").distinct()
+    for item in items.orderBy("i", "t").toLocalIterator():
+        buf = LOWER[np.frombuffer(item["t"].encode(), np.uint8)]
+        starts, ends = spans(WORD[buf], np.asarray([0, len(buf)]))
+        own = [buf[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        at = 0
+        while at < max(1, len(own) - window + 1) and own:
+            if size >= block_words:
+                yield block
+                block, size = [], 0
+            n = min(block_words - size, max(1, len(own) - window + 1) - at)
+            block.append((item["i"], own[at : at + n + window - 1]))
+            at, size = at + n, size + n
     if block:
-        made.append(spark.sparkContext.broadcast(Windows(block, window)))
-    return made
-
-
-def scan_shard(shard: Block, pattern_blocks: list[Windows], hasher: SpanHash) -> tuple[np.ndarray, np.ndarray, list[set[str]], np.ndarray, np.ndarray, np.ndarray]:
-    """Per row the numbers of words and hit words and the matching items; and the merged spans: row, first and end byte in the row."""
-    n = len(shard)
-    found = words(LOWER[shard.buf], shard.offsets, hasher)
-    starts, ends, _ = found
-    depth = np.zeros(len(starts) + 1, np.int64)
-    row = shard.rows_of(starts)
-    matched: list[set[str]] = [set() for _ in range(n)]
-    for windows in pattern_blocks:
-        at, which, _ = hits(shard, windows, found)
-        depth += np.bincount(at, minlength=len(depth)) - np.bincount(at + windows.lengths[which], minlength=len(depth))
+        yield block
+
+
+class Shard:
+    """The words of a block of documents, and the hits found in it."""
+
+    def __init__(self, block: Block, hasher: SpanHash) -> None:
+        self.block, self.buf = block, LOWER[block.buf]
+        self.found = words(self.buf, block.offsets, hasher)
+        self.row = block.rows_of(self.found[0])
+        self.depth = np.zeros(len(self.row) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in range(len(block))]
+
+    def search(self, windows: Windows) -> None:
+        at, which = hits(self.buf, self.row, windows, self.found)
+        self.cover(at, at + windows.lengths[which])
         each = ragged(windows.first_item[which], windows.n_items[which])
-        n_items = max(len(windows.item_ids), 1)
-        pairs = np.unique(np.repeat(row[at], windows.n_items[which]) * n_items + windows.flat_items[each])
-        for r, i in zip((pairs // n_items).tolist(), (pairs % n_items).tolist(), strict=True):
-            matched[r].add(windows.item_ids[i])
-    hit = np.cumsum(depth[:-1]) > 0
-    bounds = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-    a, b = spans(hit, np.append(bounds, len(hit)))
-    of = row[a]
-    return np.bincount(row, minlength=n), np.bincount(row[hit], minlength=n), matched, of, starts[a] - shard.offsets[of], ends[b - 1] - shard.offsets[of]
+        n = max(len(windows.item_ids), 1)
+        pairs = np.unique(np.repeat(self.row[at], windows.n_items[which]) * n + windows.flat_items[each])
+        for r, i in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True):
+            self.items[r].add(windows.item_ids[i])
+
+    def cover(self, first: np.ndarray, end: np.ndarray) -> None:
+        """Words first .. end - 1 (numbers in the block) are hit."""
+        self.depth += np.bincount(first, minlength=len(self.depth)) - np.bincount(end, minlength=len(self.depth))
+
+    @property
+    def hit(self) -> np.ndarray:
+        return np.cumsum(self.depth[:-1]) > 0
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Maximal runs of hit words: row, first and end word."""
+        bounds = np.flatnonzero(np.append(True, self.row[1:] != self.row[:-1])) if len(self.row) else np.zeros(0, np.int64)
+        a, b = spans(self.hit, np.append(bounds, len(self.row)))
+        return self.row[a], a, b
+
+    def byte_spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs as row, first and end byte in the row."""
+        of, a, b = self.runs()
+        return of, self.found[0][a] - self.block.offsets[of], self.found[1][b - 1] - self.block.offsets[of]
+
+
+_DIGEST = ["_op10_a", "_op10_b"]
+
+
+def _digested(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.withColumns({_DIGEST[0]: F.xxhash64(text), _DIGEST[1]: F.xxhash64(F.lit(1), text)})
+
+
+def _hits_of(docs: DataFrame, block: list, window: int) -> DataFrame:
+    """Written to the shared folder: for each text with hits of a block of windows its digest, hit runs (first and end word in the text) and item ids."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(Windows(block, window))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHash()
+        for block in blocks(batches, key=_DIGEST[0], limit=SHARD_BYTES):
+            shard = Shard(block, hasher)
+            shard.search(shared.value)
+            of, a, b = shard.runs()
+            first = np.searchsorted(shard.row, of)
+            rows = np.unique(of)
+            runs = [[[int(x), int(y)] for x, y in zip((a - first)[of == r], (b - first)[of == r], strict=True)] for r in rows]
+            digest = [block.batch[c].take(pa.array(rows)) for c in _DIGEST]
+            yield pa.record_batch([*digest, pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(shard.items[r]) for r in rows], pa.list_(pa.string()))], names=[*_DIGEST, "runs", "items"])
+
+    path = fresh_dir(spark, "op10-hits")
+    texts = _digested(docs.select("text")).select(F.col("text").cast("string").alias("text"), *_DIGEST)
+    texts.mapInArrow(search, f"{_DIGEST[0]} long, {_DIGEST[1]} long, runs array<array<long>>, items array<string>").dropDuplicates(_DIGEST).write.parquet(path)
+    shared.destroy()
+    return spark.read.parquet(path)
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, finish, schema) -> DataFrame:
+    """finish(shard, its rows' batch) of every block of documents, after all windows have been searched for in it."""
+    spark = docs.sparkSession
+    made = _pieces(benchmark, window, block_words)
+    first, second = next(made, []), next(made, None)
+    if second is None:
+        shared = spark.sparkContext.broadcast(Windows(first, window))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hasher = SpanHash()
+            for block in blocks(batches, limit=SHARD_BYTES):
+                shard = Shard(block, hasher)
+                shard.search(shared.value)
+                yield finish(shard)
+
+        return docs.mapInArrow(scan, schema)
+    parts = [_hits_of(docs, b, window) for b in (first, second)] + [_hits_of(docs, b, window) for b in made]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    # The hits of one text: bounded by its words and the items.
+    per = every.groupBy(*_DIGEST).agg(F.flatten(F.collect_list("runs")).alias("_op10_runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("_op10_items"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHash()
+        for block in blocks(batches, limit=SHARD_BYTES):
+            shard = Shard(block, hasher)
+            first = np.searchsorted(shard.row, np.arange(len(block)))
+            for r, (runs, items) in enumerate(zip(block.batch["_op10_runs"].to_pylist(), block.batch["_op10_items"].to_pylist(), strict=True)):
+                if runs:
+                    x = np.asarray(runs, np.int64) + first[r]
+                    shard.cover(x[:, 0], x[:, 1])
+                    shard.items[r].update(items)
+            yield finish(shard)
+
+    return _digested(docs).join(per, _DIGEST, "left").mapInArrow(merge, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and the merged removal spans in bytes."""
-    pattern_blocks = _pattern_blocks(benchmark, window, block_words)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHash()
-        for shard in blocks(batches, limit=SHARD_BYTES):
-            n_words, n_hit, matched, of, a, b = scan_shard(shard, [x.value for x in pattern_blocks], hasher)
-            pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(a) + 1, 2), pa.int32()), pa.array(np.stack([a, b], 1).reshape(-1)))
-            span_lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=len(shard)))), pa.int32()), pairs)
-            n_items = np.asarray([len(m) for m in matched], np.int64)
-            shas = [hashlib.sha256(",".join(sorted(m)).encode()).hexdigest() for m in matched]
-            yield pa.record_batch([shard.ids, pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(shas), pa.array(n_items >= min_items), span_lists], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+    def finish(shard: Shard) -> pa.RecordBatch:
+        n = len(shard.block)
+        of, a, b = shard.byte_spans()
+        pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(a) + 1, 2), pa.int32()), pa.array(np.stack([a, b], 1).reshape(-1)))
+        span_lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=n))), pa.int32()), pairs)
+        n_items = np.asarray([len(m) for m in shard.items], np.int64)
+        shas = [hashlib.sha256(",".join(sorted(m)).encode()).hexdigest() for m in shard.items]
+        counts = [np.bincount(shard.row, minlength=n), np.bincount(shard.row[shard.hit], minlength=n)]
+        return pa.record_batch([shard.block.ids, *map(pa.array, counts), pa.array(n_items), pa.array(shas), pa.array(n_items >= min_items), span_lists], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>")
+    return _searched(texts, benchmark, window, block_words, finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with the spans of benchmark windows cut from the texts, and n_chars, if there is one, following the text; other columns pass."""
-    pattern_blocks = _pattern_blocks(benchmark, window, block_words)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHash()
-        for shard in blocks(batches, limit=SHARD_BYTES):
-            *_, of, a, b = scan_shard(shard, [x.value for x in pattern_blocks], hasher)
-            texts: list[str | None] = shard.batch["text"].to_pylist()
+    names = docs.columns
+
+    def finish(shard: Shard) -> pa.RecordBatch:
+        block = shard.block
+        of, a, b = shard.byte_spans()
+        texts: list[str | None] = block.batch["text"].to_pylist()
+        for r in np.unique(of).tolist():
+            keep = np.ones(block.offsets[r + 1] - block.offsets[r], dtype=bool)
+            for x, y in zip(a[of == r].tolist(), b[of == r].tolist(), strict=True):
+                keep[x:y] = False
+            texts[r] = block.buf[block.offsets[r] : block.offsets[r + 1]][keep].tobytes().decode()
+        changed = {"text": pa.array(texts, pa.string())}
+        if len(of) and "n_chars" in names:
+            chars = block.batch["n_chars"].to_pylist()
             for r in np.unique(of).tolist():
-                keep = np.ones(shard.offsets[r + 1] - shard.offsets[r], dtype=bool)
-                for x, y in zip(a[of == r].tolist(), b[of == r].tolist(), strict=True):
-                    keep[x:y] = False
-                texts[r] = shard.buf[shard.offsets[r] : shard.offsets[r + 1]][keep].tobytes().decode()
-            changed = {"text": pa.array(texts, pa.string())}
-            if len(of) and "n_chars" in shard.batch.schema.names:
-                chars = shard.batch["n_chars"].to_pylist()
-                for r in np.unique(of).tolist():
-                    chars[r] = len(texts[r])
-                changed["n_chars"] = pa.array(chars, shard.batch["n_chars"].type)
-            yield pa.record_batch([changed.get(c, shard.batch[c]) for c in shard.batch.schema.names], names=shard.batch.schema.names)
-
-    return docs.mapInArrow(cut, docs.schema)
+                chars[r] = len(texts[r])
+            changed["n_chars"] = pa.array(chars, block.batch["n_chars"].type)
+        return pa.record_batch([changed.get(c, block.batch[c]) for c in names], names=names)
+
+    return _searched(docs, benchmark, window, block_words, finish, docs.schema)
 
 
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

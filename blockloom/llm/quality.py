@@ -1,9 +1,11 @@
 """Repetition coverage: quality rules from rolling hashes of word n-grams, in numpy.
 
-All words of a block are hashed from one running sum; the hash of the n-gram at
-a word is that of the (n-1)-gram there plus one more word.  An n-gram can only
-repeat where its first n-1 words do, so each length looks at the places that
-the one before left over.  The characters inside repeats of n-grams (the first
+All words and lines of a block are hashed from one running sum and numbered by
+hash; words and lines of one number are compared byte for byte.  The key of the
+n-gram at a word rolls on from that of the (n-1)-gram there and one more word;
+keys are whole numbers that stand for one n-gram of one text each, so counts are
+exact.  An n-gram can only repeat where its first n-1 words do, so each length
+looks at the places that the one before left over.  The characters inside repeats of n-grams (the first
 occurrence is no repeat; overlaps count once) and inside repeated lines, as
 shares of the characters in words, are held against ``RULES``.
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Block, SpanHash, blocks, mix, spans, table
+from ._common import Block, SpanHash, blocks, span_ids, spans, table
 
 LENGTHS = range(2, 11)
 #: Largest shares allowed: of characters in repeated n-grams by n (2 to 4: of the most frequent one; 5 to 10: of all repeated), in repeated lines, of repeated lines; symbols per word; words' mean length.
@@ -40,16 +42,15 @@ BASE_WINDOW = 3
 _BYTES = np.arange(256)
 SPACE = (_BYTES == 0x20) | ((_BYTES >= 9) & (_BYTES <= 13))
 SYMBOL = np.isin(_BYTES, list(b"#*$%&|<>"))
-_NEXT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _repeated(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (row, key) pairs: the order that sorts them, the group of each in that order, the groups' sizes."""
-    keys = mix(key ^ (row.astype(np.uint64) * _NEXT))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
+def _groups(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of numbers: the (stable) order that sorts them, the group of each in that order, the groups' sizes."""
+    key = first.astype(np.int64) * (int(second.max(initial=0)) + 1) + second
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
     group = np.cumsum(new) - 1
     return order, group, np.bincount(group, minlength=0)
 
@@ -77,7 +78,7 @@ def measure(block: Block, hasher: SpanHash, lengths: range = LENGTHS) -> dict[st
     line_chars = points[b] - points[a]
     a, b, line_chars = a[line_chars > 0], b[line_chars > 0], line_chars[line_chars > 0]
     line_row = block.rows_of(a)
-    order, group, _ = _repeated(line_row, hasher(block.buf, a, b))
+    order, group, _ = _groups(line_row, span_ids(block.buf, a, b, hasher))
     again = np.ones(len(a), dtype=bool)  # a stable order has a group's earliest line first
     if len(a):
         again[order[np.concatenate([[True], group[1:] != group[:-1]])]] = False
@@ -86,16 +87,20 @@ def measure(block: Block, hasher: SpanHash, lengths: range = LENGTHS) -> dict[st
     out["dup_line_chars"] = np.bincount(line_row[again], line_chars[again], n)
 
     # n-grams, from the places where shorter ones repeat.
-    words = hasher(block.buf, starts, ends)
+    words = span_ids(block.buf, starts, ends, hasher)
     bounds = np.concatenate([[0], np.cumsum(n_words)])
     last = bounds[row + 1]
-    at, key = np.arange(len(starts)), words.copy()
+    # gram: the number of the text's n-gram at each place; a word's to begin with, so n-grams of different texts differ.
+    at, gram = np.arange(len(starts)), np.empty(len(starts), np.int64)
+    order, group, _ = _groups(row, words)
+    gram[order] = group
     weight = np.concatenate([[0], np.cumsum(chars)])
     for k in range(2, max(lengths) + 1):
         ok = at + k <= last[at]
-        at, key = at[ok], key[ok]
-        key = key * _NEXT + words[at + k - 1]
-        order, group, sizes = _repeated(row[at], key)
+        at, gram = at[ok], gram[ok]
+        order, group, sizes = _groups(gram, words[at + k - 1])
+        gram = np.empty(len(at), np.int64)
+        gram[order] = group
         twice = np.zeros(len(at), dtype=bool)
         twice[order] = sizes[group] >= 2 if len(at) else False
         if k in RULES["top"] and len(at):
@@ -114,7 +119,7 @@ def measure(block: Block, hasher: SpanHash, lengths: range = LENGTHS) -> dict[st
         if k == BASE_WINDOW:
             covered = _covered(at[twice], k, len(starts))
             out["n_repeat_words"] = np.bincount(row[covered], minlength=n)
-        at, key = at[twice], key[twice]
+        at, gram = at[twice], gram[twice]
     return out
 
 

@@ -10,6 +10,9 @@ in a document of smaller doc_id, or earlier in the same document.
    and 168 bytes.
 2. Chunks whose anchor comes once in the corpus are done.  Of the others, equal
    chunks are pre-aggregated to their first place; all later ones are repeats.
+   Chunks count as equal if their anchors' and their own hashes (64 and 62 bits,
+   of independent kinds) are: no bytes travel for them.  Different chunks of one
+   anchor would share the latter with a chance below 2**-46 a pair.
 3. The different chunks are dealt by anchor into collections.  A collection's
    Burrows-Wheeler transform is built column by column: every round inserts one
    symbol of every chunk, from the right, and updates transform and common
@@ -27,9 +30,9 @@ within each task, and go through the same construction.
 
 Edge cases: a null text is empty; a text under ``length`` bytes keeps everything;
 repeated rows (same doc_id and text) are one document that comes out as often
-as it came in; different texts under one doc_id are ordered by a hash of the
-text; a null doc_id sorts first; an empty table gives no rows; other columns
-are not read.
+as it came in; different texts under one doc_id are ordered by a 64-bit hash of
+the text; rows without doc_id sort first, told apart by 126 bits of hashes of
+the text; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -54,10 +57,34 @@ COMBINE = 250_000
 BLOCK_BYTES = 2 << 20
 SPILL_BYTES = 256 << 20
 _PLACE_BITS = np.uint64(22)
-_NO_ID = np.iinfo(np.int64).min
+#: Rows without doc_id get numbers from here on, by a hash of their text.
+_NO_ID = -(1 << 63)
+# Fixed odd constants; any odd values would do.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 #: A chunk's place and names, as it is sent: anchor hash, chunk hash, document, text hash, first window, windows.
-PLACE = np.dtype([("anchor", "<u8"), ("chunk", "<u8"), ("doc", "<i8"), ("text", "<i4"), ("start", "<u4"), ("n", "u1")])
+PLACE = np.dtype([("anchor", "<u8"), ("chunk", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("n", "u1")])
+
+
+class AnchorHash:
+    """64-bit names of the strings of one width at every byte, from one running sum.  Strings that share a name only share an anchor."""
+
+    def __init__(self, width: int = ANCHOR) -> None:
+        self.width = width
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def __call__(self, buf: np.ndarray) -> np.ndarray:
+        if len(self.power) <= len(buf):
+            n = max(len(buf) + 1, 1 << 16)
+            for name, base in (("power", _BASE), ("inverse", np.uint64(pow(int(_BASE), -1, 1 << 64)))):
+                out = np.full(n, base, np.uint64)
+                out[0] = 1
+                setattr(self, name, np.multiply.accumulate(out))
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[buf] * self.power[: len(buf)], out=sums[1:])
+        n = len(buf) - self.width + 1
+        return mix((sums[self.width :] - sums[:n]) * self.inverse[:n])
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -70,18 +97,17 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def chunks(buf: np.ndarray, offsets: np.ndarray, hasher: SpanHash, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+def chunks(buf: np.ndarray, offsets: np.ndarray, hasher: SpanHash, anchors: AnchorHash, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """The chunks of a block's rows: row, first window (byte of the block), number of windows, anchor hash, chunk hash."""
-    none = np.zeros(0, np.int64)
+    none, anchor = np.zeros(0, np.int64), anchors.width
     if len(buf) < length:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     step = (1 << int(_PLACE_BITS)) - length
     rows, starts, counts, names, bodies = [], [], [], [], []
     for a in range(0, len(buf) - length + 1, step):
         part = buf[a : a + step + length - 1]
-        at = np.arange(len(part) - anchor + 1)
-        hashes = hasher(part, at, at + anchor)
-        packed = (hashes >> _PLACE_BITS << _PLACE_BITS) | at.astype(np.uint64)
+        hashes = anchors(part)
+        packed = (hashes >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64)
         place = (sliding_least(packed, length - anchor + 1) & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
         n = len(place)
         own = offsets[(offsets > a) & (offsets < a + n + length)] - a
@@ -119,12 +145,14 @@ _SENT = "bucket int, known boolean, places binary"
 
 def _send(places: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Packed rows: first places by their anchor's bucket; places already known as repeats by their document's."""
+    if not len(places):
+        return pa.record_batch([pa.array([], pa.int32()), pa.array([], pa.bool_()), pa.array([], pa.binary())], names=["bucket", "known", "places"])
     places, new = _sorted(places)
     where = np.where(new, places["anchor"] % np.uint64(buckets), mix(places["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
     key = where * 2 + ~new
     order = np.argsort(key, kind="stable")
     key, places = key[order], places[order]
-    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     parts = [_pack(places[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(key)), strict=True)]
     return pa.record_batch([pa.array(key[cuts] // 2, pa.int32()), pa.array(key[cuts] % 2 == 1), pa.array(parts, pa.binary())], names=["bucket", "known", "places"])
 
@@ -142,20 +170,16 @@ def _unpack(data: bytes) -> np.ndarray:
     return out
 
 
-def _doc_ids(ids: pa.Array) -> np.ndarray:
-    return ids.fill_null(_NO_ID).to_numpy()
-
-
 def _find_places(texts: DataFrame, buckets: int, length: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHash()
+        hasher, anchors = SpanHash(), AnchorHash()
         held: list[np.ndarray] = []
         n = 0
         for block in blocks(batches, limit=BLOCK_BYTES):
-            row, start, count, name, body = chunks(block.buf, block.offsets, hasher, length)
+            row, start, count, name, body = chunks(block.buf, block.offsets, hasher, anchors, length)
             places = np.empty(len(row), PLACE)
             places["anchor"], places["chunk"], places["n"] = name, body, count
-            places["doc"] = _doc_ids(block.ids)[row]
+            places["doc"] = block.ids.to_numpy()[row]
             places["text"] = block.batch["text_hash"].to_numpy()[row]
             places["start"] = start - block.offsets[row]
             held.append(places)
@@ -169,7 +193,7 @@ def _find_places(texts: DataFrame, buckets: int, length: int) -> DataFrame:
     return texts.mapInArrow(find, _SENT)
 
 
-_FOUND = "doc_id long, text_hash int, anchor long, start int, n int, kind int"
+_FOUND = "doc_id long, text_hash long, anchor long, start int, n int, kind int"
 REPEAT, CANDIDATE, WINDOWS = 0, 1, 2
 
 
@@ -330,7 +354,7 @@ def repeated_windows(data: list[bytes], places: np.ndarray, length: int) -> tupl
     return string[later], window[later]
 
 
-_CHUNK = "collection int, key long, doc_id long, text_hash int, start int, n int, body binary"
+_CHUNK = "collection int, key long, doc_id long, text_hash long, start int, n int, body binary"
 
 
 def _fetch(texts: DataFrame, found: DataFrame, collections: int, length: int) -> DataFrame:
@@ -350,7 +374,7 @@ def _fetch(texts: DataFrame, found: DataFrame, collections: int, length: int) ->
             each = ragged(at[single], n[single])
             each_row = np.repeat(row[single], n[single])
             key = hasher(block.buf, each, each + length)
-            doc, text = _doc_ids(block.ids), block.batch["text_hash"].to_numpy()
+            doc, text = block.ids.to_numpy(), block.batch["text_hash"].to_numpy()
             begin = each - block.offsets[each_row]
             order = np.lexsort([begin, text[each_row], doc[each_row], key])
             each, each_row, key, begin = each[order], each_row[order], key[order], begin[order]
@@ -373,7 +397,7 @@ def _fetch(texts: DataFrame, found: DataFrame, collections: int, length: int) ->
     return texts.join(wanted, ["doc_id", "text_hash"]).mapInArrow(fetch, _CHUNK)
 
 
-_RUN = "doc_id long, text_hash int, start int, n int"
+_RUN = "doc_id long, text_hash long, start int, n int"
 
 
 def _construct(fetched: DataFrame, length: int) -> DataFrame:
@@ -385,7 +409,7 @@ def _construct(fetched: DataFrame, length: int) -> DataFrame:
         def close() -> pa.RecordBatch:
             got = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held.clear()
-            places = np.empty(got.num_rows, [("doc", "<i8"), ("text", "<i4"), ("start", "<i8")])
+            places = np.empty(got.num_rows, [("doc", "<i8"), ("text", "<i8"), ("start", "<i8")])
             places["doc"], places["text"], places["start"] = (got[c].to_numpy() for c in ("doc_id", "text_hash", "start"))
             string, window = repeated_windows(got["body"].to_pylist(), places, length)
             order = np.lexsort([window, string])
@@ -434,21 +458,22 @@ def _cut(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
             n_bytes = np.diff(block.offsets)
             # As text: what is left of a code point that lost a byte goes too.
             well_formed = [x.decode("utf-8", "ignore") for x in left] if carried else [None] * len(block)
-            columns = [block.ids, n_bytes, block.per_row(gone), block.per_row(begins), [hashlib.sha256(x).hexdigest() for x in left]]
+            columns = [block.batch["id"], n_bytes, block.per_row(gone), block.per_row(begins), [hashlib.sha256(x).hexdigest() for x in left]]
             yield pa.record_batch([*map(pa.array, columns), pa.array(left, pa.binary()), pa.array(well_formed, pa.string()), block.batch["row"]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", "row"])
 
     row = texts.schema["row"].dataType.simpleString()
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, row {row}"
     carried = row != "int"
-    out = texts.join(per, ["doc_id", "text_hash"], "left").mapInArrow(cut, schema)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
+    return texts.join(per, ["doc_id", "text_hash"], "left").mapInArrow(cut, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, collection: int = COLLECTION, carry: list[str] | None = None) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes); with columns to carry, kept_text (the same as text) and row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text"), (F.struct(*carry) if carry else F.lit(0)).alias("row"))
+    own = F.col("doc_id").cast("long")
+    key = F.coalesce(own, F.lit(_NO_ID) + F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 2))
+    texts = docs.select(key.alias("doc_id"), own.alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), (F.struct(*carry) if carry else F.lit(0)).alias("row"))
     # Input partitions hold a bounded number of bytes, so buckets in proportion to them hold a bounded number of places.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * texts.rdd.getNumPartitions())
     found = checkpoint(_meet(_find_places(texts, buckets, length), hot))
