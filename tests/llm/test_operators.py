@@ -342,15 +342,38 @@ def brute_links(own):
     return links, root
 
 
-@pytest.mark.parametrize("large", [20_000, 0])
-def test_jaccard_join(docs, empty, large, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LARGE_TIE", large)
+@pytest.mark.parametrize("dense", [1.0, 0.0])
+def test_jaccard_join(docs, empty, dense, monkeypatch):
+    """Against all pairs; by ties, and along the groups of each tree alone."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
     once = docs.dropDuplicates(["doc_id"])
     got = by_id(jaccard_join.similarity_classes(once))
     links, root = brute_links(texts(once))
     assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {i: (root[i], len(links[i])) for i in root}
-    assert jaccard_join.similarity_classes(docs).count() == docs.count() and jaccard_join.similarity_classes(empty).count() == 0
+    if dense:
+        assert jaccard_join.similarity_classes(docs).count() == docs.count() and jaccard_join.similarity_classes(empty).count() == 0
+
+
+def test_jaccard_join_by_row(spark):
+    """Rows without doc_id, different texts under one id, and equal rows are rows of their own."""
+    r = np.random.default_rng(4)
+    base = [f"w{k}" for k in r.integers(0, 5000, 200)]
+    near = [*base[:-3], "x", "y", "z"]
+    other = [f"v{k}" for k in r.integers(0, 5000, 50)]
+    rows = [(None, " ".join(base), 1), (None, " ".join(base), 2), (2, " ".join(near), 3), (3, "alone " + " ".join(other), 4), (9, " ".join(near), 5), (9, "quite " + " ".join(f"u{k}" for k in range(40)), 6), (5, " ".join(f"t{k}" for k in range(30)), 7), (5, " ".join(f"t{k}" for k in range(30)), 8), (None, None, 9), (None, " ".join(f"s{k}" for k in range(30)), 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _salt int")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.rep_id or 0, r.n_links) for r in jaccard_join.similarity_classes(df).collect())
+    assert got == sorted([(0, 2, 0, 3), (0, 2, 0, 3), (2, 2, 2, 3), (3, 3, 3, 0), (9, 2, 2, 3), (9, 9, 9, 0), (5, 5, 5, 1), (5, 5, 5, 1), (0, 0, 0, 0), (0, 0, 0, 0)])
+    kept = [r["_salt"] for r in jaccard_join.keep_one(df).collect()]
+    assert sorted(kept) in ([3, 4, 6, 7, 9, 10], [3, 4, 6, 8, 9, 10])
+
+
+def test_salted_join(spark):
+    rows = spark.range(3000).selectExpr("id % 7 AS k", "id").union(spark.range(5000, 9000).selectExpr("3 AS k", "id"))
+    per = rows.groupBy("k").count().selectExpr("k", "count AS n", "k * 10 AS v")
+    got = _common.salted_join(_common.checkpoint(rows), per, ["k"], "n", 7000)
+    assert sorted((r.k, r.id, r.v) for r in got.collect()) == sorted((r.k, r.id, r.k * 10) for r in rows.collect())
 
 
 def test_components(spark):
