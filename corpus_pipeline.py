@@ -6,7 +6,7 @@ the columns of ``documents`` (further columns of the input pass through):
 * language_id drops documents for which no language is found: no letter at all,
   or no margin between languages;
 * near_duplicates keeps, of each group tied by similarity 0.8 or more, the
-  document of least doc_id;
+  row of least doc_id, and of equal rows one; other rows of a doc_id stay;
 * repeated_passages cuts strings of 100 bytes that start earlier in the corpus;
   a code point that loses a byte goes whole; n_chars follows the text;
 * decontamination cuts the spans of benchmark windows; n_chars follows the text;
@@ -54,9 +54,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    classes = jaccard_join.similarity_classes(docs)
-    gone = classes.filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return jaccard_join.keep_one(docs)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
