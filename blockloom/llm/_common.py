@@ -298,21 +298,16 @@ def sampled_rows(rows: DataFrame, ids: DataFrame) -> list[dict]:
     return one.withColumn("_sum", F.sum("_n").over(shortest)).filter(F.col("_sum") <= SAMPLE_BYTES).select("doc_id", "text", *others).toArrow().to_pylist()
 
 
-#: A key of over total / HOT_KEYS rows (and HOT_ROWS) is hot; so at most HOT_KEYS keys are, which is what is broadcast.
-HOT_KEYS, HOT_ROWS, SALTS = 1000, 500, 64
+def skew_join(rows: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows joined to the one row that per has of each key, some keys having very many rows.
 
-
-def salted_join(rows: DataFrame, per: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """The rows (of a checkpoint or table) joined to the one row that per has of each key; count is that key's number of rows, total that of all.
-
-    A hot key's rows are dealt over SALTS tasks, its one row to each of them.
+    Spark splits a hot key's rows over tasks if both sides come straight from an
+    exchange.  The sides of an aggregate over the rows and a join with them share
+    one, which rules that out; so the keys of per are made anew here.
     """
     from pyspark.sql import functions as F
 
-    hot = F.col(count) > max(HOT_ROWS, total // HOT_KEYS)
-    salts = F.broadcast(per.filter(hot).select(*keys, F.lit(SALTS).alias("_salts")))
-    dealt = rows.join(salts, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).cast("int")).drop("_salts")
-    return dealt.join(per.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))), [*keys, "_salt"]).drop("_salt")
+    return rows.join(per.withColumns({k: F.col(k).bitwiseXOR(F.lit(0)) for k in keys}), keys)
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -320,14 +315,13 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     Large-star and small-star contraction in turn (Kiveris et al., "Connected
     components in MapReduce and beyond"), each round checkpointed, until no
-    edge changes.  Work a round is in proportion to the edges; a node of many
-    edges is dealt over many tasks.
+    edge changes.  Work a round is in proportion to the edges; the edges of one
+    node are dealt over many tasks (``skew_join``).
     """
     from pyspark.sql import functions as F
 
-    def star(links: DataFrame, n: int) -> DataFrame:
-        per = links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("_n"))
-        return salted_join(links, per, ["a"], "_n", n).drop("_n")
+    def star(links: DataFrame) -> DataFrame:
+        return skew_join(links, links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), ["a"])
 
     def total(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a") % 1000003)).first())
@@ -338,8 +332,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = star(both, 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small = star(large, before[0]).select("a", "b", "m")
+        large = star(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        small = star(large).select("a", "b", "m")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         edges = checkpoint(small.filter("a <> b").distinct())
         now = total(edges)

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Block, SpanHash, blocks, checkpoint, components, mix, releasing, salted_join, table
+from ._common import Block, SpanHash, blocks, checkpoint, components, mix, releasing, skew_join, table
 from .decontamination import LOWER, words
 
 WORDS = 5
@@ -275,26 +275,25 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 def _units(forest: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
     """Who is compared with whom: (unit, tree, node, tie, n, shingles); tree -1 for ties, and what a unit holds in all."""
-    n = classes.count()
     # Groups at the target depth with two classes or more; all else meets nothing.
     near = forest.withColumn("group", _group(depth))
     groups = near.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("group", "n")
-    met = checkpoint(salted_join(near, groups, ["group"], "n", n).select("node", "tree", "group", "n", _group(DEPTH).alias("deep")))
+    met = checkpoint(skew_join(near, groups, ["group"]).select("node", "tree", "group", "n", _group(DEPTH).alias("deep")))
     # Ties: classes that share a whole signature; each such group hangs on its least class.
-    hubs = met.groupBy("deep").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").select("deep", "hub", "n")
-    tied = salted_join(met.select("node", "deep"), hubs, ["deep"], "n", n).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    hubs = met.groupBy("deep").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").select("deep", "hub")
+    tied = skew_join(met.select("node", "deep"), hubs, ["deep"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     ties = checkpoint(components(tied).withColumnRenamed("root", "tie"))
     # All with all, or along the groups?  Whichever is less work.
     along = met.groupBy("node").agg(F.sum("n").alias("pairs"))
     size = classes.select("node", "size")
     per_tie = ties.join(along, "node").join(size, "node").groupBy("tie").agg(F.count(F.lit(1)).alias("n"), F.sum("pairs").alias("pairs"), F.sum("size").alias("shingles")).withColumn("dense", F.col("n") * F.col("n") <= DENSE * F.col("pairs"))
-    dense = salted_join(ties, per_tie.filter("dense"), ["tie"], "n", n)
+    dense = skew_join(ties, per_tie.filter("dense"), ["tie"])
     dense = checkpoint(dense.select("node", "tie", "n", "shingles"))
     # Groups at the target depth that hold classes of several ties (or of none).
     rest = met.join(dense.select("node", "tie"), "node", "left").join(size, "node").withColumn("own", F.coalesce("tie", -F.col("node") - 1))
     open_ = rest.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min("own").alias("x"), F.max("own").alias("y")).filter("x < y").select("group", "n", "shingles")
     rest = checkpoint(rest.select("node", "tree", "group", "tie"))
-    open_units = salted_join(rest, open_, ["group"], "n", n).select(F.col("group").alias("unit"), "tree", "node", F.coalesce("tie", F.lit(-1)).alias("tie"), "n", "shingles")
+    open_units = skew_join(rest, open_, ["group"]).select(F.col("group").alias("unit"), "tree", "node", F.coalesce("tie", F.lit(-1)).alias("tie"), "n", "shingles")
     return dense.select(F.col("tie").alias("unit"), F.lit(-1).alias("tree"), "node", "tie", "n", "shingles").unionByName(open_units)
 
 
@@ -332,8 +331,7 @@ def _linked(texts: DataFrame, threshold: tuple[int, int], recall: float) -> tupl
 
 def _with_head(classes: DataFrame) -> DataFrame:
     """Classes with the first row of their component."""
-    heads = classes.groupBy("root").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("_n"))
-    return salted_join(classes, heads, ["root"], "_n", classes.count()).drop("_n")
+    return skew_join(classes, classes.groupBy("root").agg(F.min("first").alias("head")), ["root"])
 
 
 def similarity_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -341,7 +339,7 @@ def similarity_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     texts = _texts(docs)
     digests, classes = _linked(texts, threshold, recall)
     per = _with_head(classes).select(*SAME, "n_rows", F.col("head.doc_id").alias("class_id"), F.col("first.doc_id").alias("rep_id"), (F.col("n_rows") - 1 + F.col("linked")).alias("n_links"))
-    linked = salted_join(digests.select("doc_id", *SAME), per, SAME, "n_rows", digests.count()).select("doc_id", "class_id", "rep_id", "n_links")
+    linked = skew_join(digests.select("doc_id", *SAME), per, SAME).select("doc_id", "class_id", "rep_id", "n_links")
     alone = _wordless(texts).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
 
@@ -351,7 +349,7 @@ def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: fl
     texts = _texts(docs)
     digests, classes = _linked(texts, threshold, recall)
     per = _with_head(classes).select(*SAME, "n_rows", "head")
-    rows = salted_join(digests.select("doc_id", "text_key", *SAME), per, SAME, "n_rows", digests.count())
+    rows = skew_join(digests.select("doc_id", "text_key", *SAME), per, SAME)
     names = ["_op8_id", "_op8_key"]
     chosen = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key"))
     named = rows.select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1]), chosen.alias("chosen"))
