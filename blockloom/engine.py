@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chain import Segment
-from .functions import evm
+from .functions import abisql, evm
 from .plans import planner
 from .plans.sqlfront import SqlError, Statement, Translator
 from .sources.store import Table
@@ -30,6 +30,7 @@ class Engine:
         self.chains: dict[str, list[Segment] | None] = {}
         self.default: dict[str, str] = {}
         self.user: dict[tuple[str, str], str] = {}
+        self.helped: set[str] = set()
         self.prefix = f"bl{id(self):x}"
 
     # Registration -----------------------------------------------------------
@@ -81,6 +82,11 @@ class Engine:
             return f"concat('0x', lower(hex({args[0]})))"
         if name == "evm_encode_params" and not args:
             return f"X'{evm.abi.parse_signature(signature).selector.hex()}'"
+        tag = hashlib.md5((signature or "").encode()).hexdigest()[:12]
+        flat = f"{self.prefix}_{name}_{tag}"
+        made = self._in_jvm(name, flat, args, signature)
+        if made is not None and "{udf}" not in made:
+            return made
         makers = {
             "evm_decode_log": lambda: evm.log_udf(signature),
             "evm_decode": lambda: evm.log_udf(signature),
@@ -88,17 +94,63 @@ class Engine:
             "evm_encode_params": lambda: evm.encode_params_udf(signature, len(args)),
             "evm_decode_type": lambda: evm.decode_type_udf(signature),
             "evm_encode_type": lambda: evm.encode_type_udf(signature),
-            "shift_units": lambda: evm.SHIFT_UDF,
         }
         if name not in makers:
             raise SqlError(f"no such function: {name}")
-        if name == "shift_units":
-            args = [f"CAST({args[0]} AS STRING)", f"CAST({args[1]} AS INT)"]
-        flat = f"{self.prefix}_{name}_{hashlib.md5((signature or '').encode()).hexdigest()[:12]}"
         self.spark.udf.register(flat, makers[name]())
         call = f"{flat}({', '.join(args)})"
+        if made is not None:
+            return made.replace("{udf}", call)
         return f"CASE WHEN {call}.ok THEN {call}.value END" if name == "evm_decode_params" else call
 
+    def _in_jvm(self, name: str, flat: str, args: list[str], signature: str | None) -> str | None:
+        """The call of a contract function as a temporary SQL function; None for types that have no expression.
+
+        Where what is given decides, when the query is planned, {udf} stands for the Arrow function.
+        """
+
+        def function(params: list[str], result: str, body: str) -> str:
+            declared = ", ".join(f"p{k} {t}" for k, t in enumerate(params))
+            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {flat}_sql({declared}) RETURNS {result} RETURN {body}")
+            return f"{flat}_sql"
+
+        for statement in abisql.helpers(name) if name not in self.helped else []:
+            self.spark.sql(statement)
+        self.helped.add(name)
+        if name == "shift_units":
+            return f"{abisql.SHIFT}(CAST({args[0]} AS STRING), CAST({args[1]} AS INT))"
+        if name in ("evm_decode_type", "evm_encode_type"):
+            t = evm.abi.parse_type(signature)
+            if not abisql.plain([t]):
+                return None
+            if name == "evm_decode_type":
+                return f"{function(['BINARY'], evm.abi.spark_type(t).simpleString(), abisql.decode_type(t, 'p0'))}({args[0]})"
+            kind = abisql.parameter(t)
+            call = function([kind], "BINARY", f"CASE WHEN p0 IS NOT NULL THEN {abisql.encode_sequence([t], ['p0'])} END")
+            return f"CASE WHEN {abisql.fits(t, args[0])} THEN {call}(TRY_CAST({args[0]} AS {kind})) ELSE {{udf}} END"
+        parsed = evm.abi.parse_signature(signature)
+        types = [p.type for p in parsed.params]
+        if not types or not abisql.plain(types):
+            return None
+        if name == "evm_decode_params":
+            names = evm.param_names(parsed)
+            result = ", ".join(f"`{n}`: {evm.abi.spark_type(t).simpleString()}" for n, t in zip(names, types, strict=True))
+            return f"{function(['BINARY'], f'STRUCT<{result}>', abisql.decode_params(types, names, parsed.selector, 'p0'))}({args[0]})"
+        if name in ("evm_decode_log", "evm_decode"):
+            shown, body, names = evm.log_fields(parsed)
+            result = ", ".join(f"`{n}`: {evm.abi.spark_type(t).simpleString()}" for n, t in zip(names, shown + body, strict=True))
+            call = function(["BINARY"] * 4, f"STRUCT<{result}>", abisql.decode_log(shown, body, names, ["p0", "p1", "p2"], "p3"))
+            return f"{call}({', '.join(args)})"
+        if name == "evm_encode_params" and len(args) == len(types):
+            kinds = [abisql.parameter(t) for t in types]
+            own = [f"p{k}" for k in range(len(types))]
+            null = " OR ".join(f"{p} IS NULL" for p in own)
+            failed = f"CAST(raise_error('null for {parsed}') AS BINARY)"
+            call = function(kinds, "BINARY", f"CASE WHEN {null} THEN {failed} ELSE concat(X'{parsed.selector.hex()}', {abisql.encode_sequence(types, own)}) END")
+            given = ", ".join(f"TRY_CAST({a} AS {k})" for a, k in zip(args, kinds, strict=True))
+            return f"CASE WHEN {' AND '.join(abisql.fits(t, a) for t, a in zip(types, args, strict=True))} THEN {call}({given}) ELSE {{udf}} END"
+        return None
+
     def translate(self, sql: str, stream: bool | None = None) -> Statement:
         return Translator(self._view, self._contract, lambda d, n: self.user.get((d.lower(), n.lower()))).translate(sql, stream)
 

@@ -2,8 +2,8 @@
 
 Signatures and type names are literals, so result types are known when a query
 is planned: each function builds an Arrow-batched UDF for its signature, or a
-plain literal where nothing depends on rows.  Hex and hashes of literals stay in
-the JVM.
+plain literal where nothing depends on rows.  In SQL, elementary types, strings
+and bytes take JVM expressions instead (``abisql``).
 """
 
 from __future__ import annotations
@@ -58,33 +58,42 @@ def evm_decode_log(topic1: Column, topic2: Column, topic3: Column, data: Column,
     return log_udf(signature)(topic1, topic2, topic3, data) if abi.parse_signature(signature).params else F.lit(None)
 
 
+def log_fields(event: abi.Signature) -> tuple[list[abi.Type], list[abi.Type], list[str]]:
+    """The types of an event's indexed parameters and of the others, and the names of all, indexed ones first."""
+    indexed = [p for p in event.params if p.indexed]
+    if len(indexed) > 3:
+        raise abi.AbiError("an event has three indexed parameters at most")
+    body = [p for p in event.params if not p.indexed]
+    # What an indexed parameter of a reference type leaves is its 32-byte hash.
+    shown = [abi.Type("bytesN", 32) if p.type.dynamic or p.type.kind in ("array", "tuple") else p.type for p in indexed]
+    return shown, [p.type for p in body], [p.name or f"c{i}" for i, p in enumerate(indexed + body)]
+
+
+def param_names(function: abi.Signature) -> list[str]:
+    if any(not p.name for p in function.params):
+        raise abi.AbiError("the parameters need names")
+    return [p.name for p in function.params]
+
+
 def log_udf(signature: str):
     """A struct of an event's parameters: indexed ones from topics, the others from the data.
 
     A null topic gives a null field; data that is null or does not decode gives
     null fields for all that lies in it; the struct itself is never null.
     """
-    event = abi.parse_signature(signature)
-    indexed = [p for p in event.params if p.indexed]
-    if len(indexed) > 3:
-        raise abi.AbiError("an event has three indexed parameters at most")
-    body = [p for p in event.params if not p.indexed]
-    # What an indexed parameter of a reference type leaves is its 32-byte hash.
-    shown = {p: abi.Type("bytesN", 32) if p.type.dynamic or p.type.kind in ("array", "tuple") else p.type for p in indexed}
-    ordered = indexed + body
-    names = [p.name or f"c{i}" for i, p in enumerate(ordered)]
-    types = [shown.get(p, p.type) for p in ordered]
+    shown, body, names = log_fields(abi.parse_signature(signature))
+    types = shown + body
     result = _struct(names, types)
 
     def one(t1, t2, t3, raw):
         values = []
-        for t, topic in zip(types, (t1, t2, t3)[: len(indexed)], strict=False):
+        for t, topic in zip(shown, (t1, t2, t3), strict=False):
             try:
                 values.append(None if _null(topic) else abi.from_word(t, bytes(topic).rjust(32, b"\0")))
             except abi.AbiError:
                 values.append(None)
         try:
-            values += [None] * len(body) if _null(raw) else abi.decode_sequence(tuple(p.type for p in body), bytes(raw))
+            values += [None] * len(body) if _null(raw) else abi.decode_sequence(tuple(body), bytes(raw))
         except abi.AbiError:
             values += [None] * len(body)
         return {n: abi.to_spark(t, v) for n, t, v in zip(names, types, values, strict=True)}
@@ -107,9 +116,7 @@ def evm_decode_params(data: Column, signature: str) -> Column:
 def params_udf(signature: str):
     """Struct (value, ok) of a call's arguments."""
     function = abi.parse_signature(signature)
-    if any(not p.name for p in function.params):
-        raise abi.AbiError("the parameters need names")
-    types, names = tuple(p.type for p in function.params), [p.name for p in function.params]
+    types, names = tuple(p.type for p in function.params), param_names(function)
     selector = function.selector
     result = T.StructType([T.StructField("value", _struct(names, list(types))), T.StructField("ok", T.BooleanType())])
 
@@ -126,7 +133,7 @@ def params_udf(signature: str):
 
 
 def evm_encode_params(values: list[Column], signature: str) -> Column:
-    """Selector and encoded arguments; null where an argument does not fit."""
+    """Selector and encoded arguments; an error where an argument is null or does not fit its type."""
     made = encode_params_udf(signature, len(values))
     return made(*values) if values else F.lit(abi.parse_signature(signature).selector)
 
@@ -138,10 +145,7 @@ def encode_params_udf(signature: str, given: int):
         raise abi.AbiError(f"{len(types)} values wanted, {given} given")
 
     def one(*row):
-        try:
-            return function.selector + abi.encode_sequence(types, [_plain(v) for v in row])
-        except (abi.AbiError, decimal.InvalidOperation):
-            return None
+        return function.selector + abi.encode_sequence(types, [None if _null(v) else _plain(v) for v in row])
 
     return _each(T.BinaryType(), one)
 
@@ -228,8 +232,13 @@ def shift_units(value: Column, units: Column) -> Column:
 SHIFT_UDF = _each(T.StringType(), lambda v, u: shift(v, u))
 
 
-def eth_call(client: Callable[[bytes, bytes | None, bytes | None, str], tuple[bytes | None, str | None]], sender: Column, to: Column, data: Column, block: Column, tries: int = 3) -> Column:
-    """Struct (data, message) of a read-only call through an injected client.
+def eth_call(client: Callable, sender: Column, to: Column, data: Column, block: Column, tries: int = 3) -> Column:
+    """See eth_call_udf."""
+    return eth_call_udf(client, tries)(sender, to, data, block)
+
+
+def eth_call_udf(client: Callable[[bytes, bytes | None, bytes | None, str], tuple[bytes | None, str | None]], tries: int = 3):
+    """Struct (data, message) of a read-only call (sender, target, data, block) through an injected client.
 
     The client returns (data, message) or raises; a failure is tried again.  A
     null target or block is an error.  Equal calls of a batch are made once.
@@ -254,4 +263,4 @@ def eth_call(client: Callable[[bytes, bytes | None, bytes | None, str], tuple[by
             out.append(known[call])
         return pd.DataFrame({"data": pd.Series([x[0] for x in out], dtype=object), "message": pd.Series([x[1] for x in out], dtype=object)})
 
-    return F.pandas_udf(rows, result).asNondeterministic()(sender, to, data, block)
+    return F.pandas_udf(rows, result).asNondeterministic()
