@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .chain import Segment
 from .functions import abisql, evm
 from .plans import planner
-from .plans.sqlfront import SqlError, Statement, Translator
+from .plans.sqlfront import SqlError, Statement, Translator, join, one_statement, read_only, tokenize
 from .sources.store import Table
 
 BLOCK = "_block_num"
@@ -62,6 +62,10 @@ class Engine:
             self.spark.udf.register(flat, F.udf(call, result, useArrow=True))
         self.user[dataset.lower(), name.lower()] = flat
 
+    def eth_call(self, dataset: str, client: Callable, tries: int = 3) -> None:
+        """Make dataset.eth_call(sender, target, data, block) known: a read-only call through the client, see evm.eth_call_udf."""
+        self.function(dataset, "eth_call", evm.eth_call_udf(client, tries), "")
+
     def _view(self, dataset: str | None, table: str) -> str:
         if dataset is None:
             found = self.default.get(table.lower())
@@ -156,21 +160,51 @@ class Engine:
 
     # Running ------------------------------------------------------------------
 
+    def _run(self, sql: str) -> DataFrame:
+        """The DataFrame of translated SQL, which must be a query: commands would run at once."""
+        read_only(self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
+        return self.spark.sql(sql)
+
     def sql(self, sql: str) -> DataFrame:
-        """Run a statement once."""
+        """Run a statement once; also DESCRIBE of a table or query, and EXPLAIN [ANALYZE]."""
+        tokens = one_statement(tokenize(sql))
+        if tokens[0].low in ("describe", "desc"):
+            return self._describe(tokens[1:])
+        if tokens[0].low == "explain":
+            analyze = len(tokens) > 1 and tokens[1].low == "analyze"
+            return self._explained(join([t for t in tokens[2 if analyze else 1 :] if t.low != "verbose"]), analyze)
         statement = self.translate(sql)
         if statement.stream:
             raise SqlError("a streaming statement runs by stream()")
         if statement.uses_block_num:
             raise SqlError("block_num() is only supported in streaming queries")
-        df = self.spark.sql(statement.sql)
+        df = self._run(statement.sql)
         planner.check_output(df.columns)
         return df
 
+    def _describe(self, tokens: list) -> DataFrame:
+        if tokens and tokens[0].low == "table":
+            tokens = tokens[1:]
+        if not tokens:
+            raise SqlError("DESCRIBE what?")
+        query = tokens[0].low in ("select", "with", "values", "from", "(")
+        schema = self.sql(join(tokens) if query else f"SELECT * FROM {join(tokens)}").schema
+        return self.spark.createDataFrame([(f.name, f.dataType.simpleString(), "YES" if f.nullable else "NO") for f in schema], "column_name string, data_type string, is_nullable string")
+
+    def _explained(self, sql: str, analyze: bool) -> DataFrame:
+        """Rows (plan_type, plan); ANALYZE runs the statement and gives what each operator put out."""
+        if analyze:
+            execution = self.sql(sql)._jdf.queryExecution()
+            execution.toRdd().count()
+            rows = [("Plan with Metrics", "\n".join(_with_metrics(execution.executedPlan())))]
+        else:
+            logical, _, physical = self.explain(sql).partition("== Physical Plan ==")
+            rows = [("logical_plan", logical.strip()), ("physical_plan", physical.strip())]
+        return self.spark.createDataFrame([(k, _without_paths(p)) for k, p in rows], "plan_type string, plan string")
+
     def explain(self, sql: str) -> str:
         """The plan of a statement, with paths of data files cut to their names."""
-        plan = self.sql(sql)._jdf.queryExecution().toString()
-        return re.sub(r"(?:\w+:)?/(?:[^/\s,\[\]]+/)+([^/\s,\]]*)", r"\1", plan)
+        return _without_paths(self.sql(sql)._jdf.queryExecution().toString())
 
     def incremental(self, sql: str) -> planner.Incremental:
         """A statement prepared for running by block ranges; an error if it cannot be."""
@@ -178,7 +212,7 @@ class Engine:
         networks = {self.networks[t] for t in statement.tables} - {None}
         if len(networks) > 1:
             raise SqlError(f"streaming over several networks: {', '.join(sorted(networks))}")
-        df = self.spark.sql(statement.sql)
+        df = self._run(statement.sql)
         planner.check_output([c for c in df.columns if c != BLOCK])
         return planner.Incremental(self.spark, df, {t for t in statement.tables if self.networks[t] is not None}, statement)
 
@@ -186,3 +220,25 @@ class Engine:
         from .streaming.query import StreamingQuery
 
         return StreamingQuery(self, sql, **options).messages()
+
+
+def _without_paths(plan: str) -> str:
+    """A plan with paths of data files cut to their names."""
+    return re.sub(r"(?:\w+:)?/(?:[^/\s,\[\]]+/)+([^/\s,\]]*)", r"\1", plan)
+
+
+def _with_metrics(node, depth: int = 0) -> list[str]:
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _with_metrics(node.executedPlan(), depth)
+    if kind.endswith("QueryStageExec"):
+        return _with_metrics(node.plan(), depth)
+    metrics, found = node.metrics(), []
+    names = metrics.keys().toSeq()
+    for i in range(names.size()):
+        value = metrics.apply(names.apply(i))
+        if value.value() > 0:
+            found.append(f"{names.apply(i)}={value.value()}")
+    children = node.children()
+    lines = [f"{'  ' * depth}{node.nodeName()} [{', '.join(sorted(found))}]"]
+    return lines + [line for i in range(children.size()) for line in _with_metrics(children.apply(i), depth + 1)]

@@ -35,6 +35,14 @@ def test_guards(engine):
         "SELECT 1; SELECT 2": "one statement",
         "CREATE TABLE t (a int)": "read-only",
         "INSERT INTO blocks VALUES (1)": "read-only",
+        "WITH a AS (SELECT v FROM blocks) INSERT OVERWRITE DIRECTORY '/tmp/never' USING parquet SELECT * FROM a": "read-only",
+        "FROM blocks INSERT OVERWRITE DIRECTORY '/tmp/never' USING parquet SELECT v": "read-only",
+        "SELECT java_method('java.lang.System', 'lineSeparator')": "read-only",
+        "SELECT `reflect`('java.lang.System', 'lineSeparator')": "read-only",
+        "SELECT identifier('reflect')('java.lang.System', 'lineSeparator')": "read-only",
+        "SELECT v FROM blocks WHERE v IN (SELECT TRANSFORM(v) USING 'cat' AS (x) FROM logs)": "read-only",
+        "EXPLAIN INSERT INTO blocks VALUES (1)": "read-only",
+        "EXPLAIN ANALYZE CREATE TABLE t (a int)": "read-only",
         "SELECT * FROM a.b.c": "catalogs are not supported",
         "SELECT * FROM nowhere": "table not found",
         "SELECT v FROM blocks SETTINGS stream = true": "stream",
@@ -66,6 +74,43 @@ def test_refused(engine, sql, what):
         engine.incremental(sql)
 
 
+def test_describe_and_explain(engine):
+    assert [tuple(r) for r in engine.sql('DESCRIBE "_/x@0.0.0".blocks').collect()] == [("_block_num", "bigint", "YES"), ("v", "bigint", "YES")]
+    assert [r.column_name for r in engine.sql("DESCRIBE SELECT v + 1 AS w FROM blocks").collect()] == ["w"]
+    assert [r.plan_type for r in engine.sql("EXPLAIN SELECT v FROM blocks").collect()] == ["logical_plan", "physical_plan"]
+    (row,) = engine.sql("EXPLAIN ANALYZE SELECT v FROM blocks WHERE v > 20").collect()
+    assert row.plan_type == "Plan with Metrics" and "numOutputRows=3" in row.plan
+
+
+def test_standard_calls_and_right_joins(engine):
+    assert engine.sql("SELECT trim(BOTH 'a' FROM 'aba') AS t, extract(year FROM DATE'2020-05-01') AS y, substring('abcd' FROM 2 FOR 2) AS s, trim(LEADING FROM '  x') AS l FROM blocks LIMIT 1").first()[:] == ("b", 2020, "bc", "x")
+    assert sorted(r.w for r in engine.sql("SELECT w FROM blocks RIGHT SEMI JOIN logs ON v = w * 10 AND v > 20").collect()) == [3, 4, 5]
+    assert sorted(r.w for r in engine.sql("SELECT w FROM blocks b JOIN blocks c ON b.v = c.v AND c.v > 20 RIGHT ANTI JOIN logs l ON b.v = l.w * 10").collect()) == [0, 1, 2]
+    engine.eth_call("_/x@0.0.0", lambda sender, to, data, block: (to + data, None))
+    assert engine.sql("""SELECT "_/x@0.0.0".eth_call(X'00', X'01', X'02', 'latest') AS c FROM blocks LIMIT 1""").first().c.data == b"\1\2"
+    with pytest.raises(Exception, match="300 is out of range of uint8"):
+        engine.sql("SELECT evm_encode_params(v + 300, 'function f(uint8 k)') AS e FROM blocks WHERE v = 0").collect()
+
+
+def test_contract_functions_agree(spark):
+    """JVM expressions against the Arrow functions, over words of every shape."""
+    r = random.Random(1)
+    words = [None, b"", b"\1" * 31, b"\xff" * 32, bytes(32), b"\x80" + bytes(31), b"\x7f" + b"\xff" * 31, bytes(31) + b"\1", bytes(24) + b"\xff" * 8, b"\xff" * 24 + bytes(8), b"\xff" * 24 + b"\x80" + bytes(7), bytes(16) + b"\xff" * 16 + b"tail"]
+    for _ in range(40):
+        x = r.randbytes(r.choice([1, 2, 8, 9, 16, 20, 31, 32]))
+        words += [x.rjust(32, r.choice([b"\0", b"\xff"])), x.ljust(32, b"\0")]
+    e, slow = Engine(spark), Engine(spark)
+    slow._in_jvm = lambda *a: None
+    for x in (e, slow):
+        x.register("t", spark.createDataFrame(list(enumerate(words)), "i int, d binary"), network=None)
+    names = ["uint256", "int256", "uint8", "int24", "uint64", "int64", "int72", "uint120", "bool", "address", "bytes4"]
+    sql = f"SELECT i, {', '.join(f'evm_decode_type(d, {n!r}) AS {n}' for n in names)} FROM t"
+    assert sorted(map(str, e.sql(sql).collect())) == sorted(map(str, slow.sql(sql).collect())) and "Python" not in e.explain(sql)
+    for v in ("1.5", "-0.00120", "000", "-0", "12", "1e5", "1.0E-7", "+3.", "123456789012345678901234567890123456789012.5"):
+        for u in (0, -1, 18, -32):
+            assert e.sql(f"SELECT shift_units('{v}', {u}) AS s").first().s == evm.shift(v, u)
+
+
 def test_networks(engine):
     with pytest.raises(SqlError, match="several networks"):
         engine.incremental("SELECT v, z FROM blocks JOIN other ON v = z")
