@@ -111,13 +111,14 @@ class StreamingQuery:
     """A statement run by microbatches.
 
     refresh is called before each round, to let tables grow; boundaries, for a
-    query that materialises, are block numbers that a rewind must fall on.
+    query that materialises, are block numbers that a rewind must fall on.  Rows come
+    in block order unless ordered is false.
     """
 
-    def __init__(self, engine, sql: str, cursor: Cursor | None = None, blocks: Blocks | None = None, start_block: int | None = None, end_block: int | None = None, max_interval: int = 100_000, refresh: Callable | None = None, boundaries: list[int] | None = None, poll: float = 1.0, keep_block: bool = False) -> None:
+    def __init__(self, engine, sql: str, cursor: Cursor | None = None, blocks: Blocks | None = None, start_block: int | None = None, end_block: int | None = None, max_interval: int = 100_000, refresh: Callable | None = None, boundaries: list[int] | None = None, poll: float = 1.0, keep_block: bool = False, ordered: bool = True) -> None:
         self.engine, self.sql, self.blocks = engine, sql, blocks or Blocks()
         self.end_block, self.max_interval, self.refresh, self.boundaries, self.poll = end_block, max_interval, refresh, boundaries, poll
-        self.keep_block = keep_block
+        self.keep_block, self.ordered = keep_block, ordered
         prepared = engine.incremental(sql)
         self.tables = [t for t in dict.fromkeys(prepared.statement.tables) if engine.networks[t]]
         self.network = next((engine.networks[t] for t in self.tables), "main")
@@ -179,6 +180,8 @@ class StreamingQuery:
             yield MicrobatchStart(span, reorg)
             # Tables may have been registered anew since the last round.
             rows = self.engine.incremental(self.sql).delta(span.start, span.end)
+            if self.ordered:
+                rows = rows.orderBy(rows["blockloom_bn"].asc_nulls_last())
             yield Data(rows.withColumnRenamed("blockloom_bn", BLOCK) if self.keep_block else rows.drop("blockloom_bn"), span)
             yield MicrobatchEnd(span)
             yield Watermark(self.network, span.end)
@@ -225,7 +228,7 @@ def materialise(engine, sql: str, table, **options) -> list[BlockRange]:
     """Run a statement into a store table: one file a microbatch, from where its chain ends, rewinding to a file's bound."""
     chain = table.canonical()
     cursor = Cursor({chain[-1].range.network: (chain[-1].range.end, chain[-1].range.hash)}) if chain else None
-    query = StreamingQuery(engine, sql, cursor=cursor, boundaries=[s.range.end for s in chain], keep_block=True, **options)
+    query = StreamingQuery(engine, sql, cursor=cursor, boundaries=[s.range.end for s in chain], keep_block=True, ordered=False, **options)
     done = []
     for m in query.messages():
         if isinstance(m, Data):
