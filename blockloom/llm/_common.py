@@ -284,18 +284,25 @@ def bounded_sample(rows: DataFrame, label: str, most: int, per_label: int) -> Da
 
 
 def sampled_rows(rows: DataFrame, ids: DataFrame) -> list[dict]:
-    """The rows (doc_id, text, ...) of a sample's ids on the driver: one of each doc_id, the least, and at most SAMPLE_BYTES of text.
+    """The rows (doc_id, text, ...) of a sample's ids on the driver: one of each doc_id, the shortest, and at most SAMPLE_BYTES of text.
 
-    Shorter texts come first, so that a very long one displaces no other.
+    Shorter texts come first, so that a very long one displaces no other.  Lengths
+    and hashes, a row an id, say which texts to fetch before any is.
     """
-    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    others = [c for c in rows.columns if c not in ("doc_id", "text")]
-    fitting = rows.withColumn("_n", F.octet_length("text")).filter(F.col("_n") <= SAMPLE_BYTES)
-    one = fitting.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "_n", *others)).alias("_row")).select("doc_id", "_row.*")
-    shortest = Window.orderBy("_n", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return one.withColumn("_sum", F.sum("_n").over(shortest)).filter(F.col("_sum") <= SAMPLE_BYTES).select("doc_id", "text", *others).toArrow().to_pylist()
+    spark, others = rows.sparkSession, [c for c in rows.columns if c not in ("doc_id", "text")]
+    named = rows.withColumns({"_n": F.octet_length("text"), "_h": F.xxhash64("text")})
+    sizes = named.select("doc_id", "_n", "_h").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("_n", "_h")).alias("s")).select("doc_id", "s.*").collect()
+    chosen, left = [], SAMPLE_BYTES
+    for r in sorted(sizes, key=lambda r: (r["_n"], r["doc_id"])):
+        left -= r["_n"]
+        if left < 0:
+            break
+        chosen.append((r["doc_id"], r["_h"]))
+    wanted = spark.createDataFrame(chosen, "doc_id long, _h long")
+    one = named.join(F.broadcast(wanted), ["doc_id", "_h"]).groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("_row"))
+    return one.select("doc_id", "_row.*").toArrow().to_pylist()
 
 
 def skew_join(rows: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:

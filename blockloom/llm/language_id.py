@@ -13,7 +13,7 @@ one, white space to one, UTF-8 continuation bytes by their low five bits (which
 joins the cases of Latin letters), lead bytes to three.
 
 Fitting uses at most ``TRAIN_DOCS`` labelled documents, ``TRAIN_PER_LABEL`` a
-language, and ``SAMPLE_BYTES`` of text; of rows with one doc_id the least trains;
+language, and ``SAMPLE_BYTES`` of text; of rows with one doc_id the shortest trains;
 everything is scored, whole.
 
 Edge cases: ``und`` with score 0 if the text is null, empty or has no letter;

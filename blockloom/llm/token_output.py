@@ -10,9 +10,12 @@ doc_id, the document's place among the shard's ids, and its number of ids.
 A task writes under a name of its own and renames when whole, so a lost
 executor leaves no half file under a final name.
 
-Edge cases: a null or empty text is only the end id; equal doc_ids stay in one
-shard, in their given order of text; a null doc_id comes first; an empty table gives
-no shards; other columns are not read.
+Shards are ranges of (doc_id, hash of the text), as many as the input's bytes ask
+for (``SHARD_BYTES``), so that a shard and its index are bounded.
+
+Edge cases: a null or empty text is only the end id; texts of one doc_id come in
+the order of their hash and may lie in several shards; a null doc_id comes
+first; an empty table gives no shards; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from ._tokens import encoder
 SEQUENCE = 2048
 ROWS_A_BATCH = 512
 END_ID = 2
+#: A shard has about so many bytes of text; Parquet's are taken to be a quarter of them.
+SHARD_BYTES = 256 << 20
 MANIFEST = "path string, first_id long, n_docs long, n_tokens long"
 
 
@@ -98,7 +103,9 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, sequence: int = SE
     The manifest has one row a shard, so ordering it over one partition is bounded by the number of files.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = stored < 1 << 50  # rows of no files count as endless
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * stored // SHARD_BYTES if known else 0)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
@@ -112,7 +119,7 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, sequence: int = SE
             yield pa.record_batch([TaskContext.get().partitionId() * np.ones(1, np.int64), *map(pa.array, got.values())], names=["shard", *got])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = texts.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return _placed(spark, ordered.mapInArrow(shard, f"shard long, {MANIFEST}"))
 
 

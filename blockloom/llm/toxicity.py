@@ -14,9 +14,9 @@ expected number of toxic tokens -- fitted on the training documents; tokens with
 a marginal of at least 0.5 give the offending character offsets.
 
 Fitting uses at most ``TRAIN_DOCS`` labelled documents, half of them for each
-label, and ``SAMPLE_BYTES`` of text; of rows with one doc_id the least text trains; every document is scored, over its whole text.
+label, and ``SAMPLE_BYTES`` of text; of rows with one doc_id the shortest text trains; every document is scored, over its whole text.
 
-Words are lower-cased runs of letters (apostrophes inside included).
+Words are lower-cased runs of letters of any script (apostrophes inside included).
 
 Edge cases: a null or empty text has no tokens and gets the score of the
 smallest evidence; several labels of one document count as their largest; null
@@ -46,8 +46,22 @@ BLOCK_BYTES = 2 << 20
 WORD = re.compile(rb"[A-Za-z\x80-\xff]+(?:'[A-Za-z\x80-\xff]+)*")
 
 
+_MARK = re.compile(r"[^\x00-\x7f\w]|[^\x00-\x7f\D]")
+
+
+def folded(text: bytes) -> bytes:
+    """The text in lower case, with marks and digits beyond ASCII blanked; as many characters as before."""
+    if text.isascii():
+        return text.lower()
+    plain = text.decode()
+    low = plain.lower()
+    if len(low) != len(plain):
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in plain)
+    return _MARK.sub(" ", low).encode()
+
+
 def tokens(text: bytes) -> list[bytes]:
-    return WORD.findall(text.lower())
+    return WORD.findall(folded(text))
 
 
 STEMS = range(5, 11)
@@ -301,8 +315,9 @@ def tag(docs: DataFrame, model: ChainModel | None) -> DataFrame:
                 scores = model.score(marginals)
                 for i, m in enumerate(marginals):
                     if len(m) and m.max() >= 0.5:
-                        found = list(WORD.finditer(texts[i].lower()))
-                        spans[i] = [[len(texts[i][: found[k].start()].decode()), len(texts[i][: found[k].end()].decode())] for k in np.flatnonzero(m >= 0.5)]
+                        low = folded(texts[i])
+                        found = list(WORD.finditer(low))
+                        spans[i] = [[len(low[: found[k].start()].decode()), len(low[: found[k].end()].decode())] for k in np.flatnonzero(m >= 0.5)]
             yield pa.record_batch([block.ids, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "score", "predicted", "spans"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

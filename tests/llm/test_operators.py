@@ -67,6 +67,51 @@ def test_suffix_dedup(docs, empty, hot):
     assert suffix_dedup.remove_repeats(docs).count() == docs.count() and suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def thue_morse(rounds):
+    """A text of a and b that sums of powers modulo 2**64 cannot tell from its complement, and the complement."""
+    t = "a"
+    for _ in range(rounds):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_span_hash():
+    """Spans of any length and place; equal numbers for equal bytes only, also if all hashes are equal."""
+    t, u = thue_morse(13)
+    buf = np.frombuffer((t + u + t + "x" * 200_000 + "x" * 200_000).encode(), np.uint8)
+    n = len(t)
+    starts = np.asarray([0, n, 2 * n, 3 * n, 3 * n + 200_000, 3 * n + 1, 5])
+    ends = np.asarray([n, 2 * n, 3 * n, 3 * n + 200_000, 3 * n + 400_000, 3 * n + 200_000, 5])
+    h = _common.SpanHash()(buf, starts, ends)
+    assert h[0] == h[2] != h[1] and h[3] == h[4] != h[5] and len(set(h.tolist())) == 5
+    for hasher in (_common.SpanHash(), lambda b, x, y: np.zeros(len(x), np.uint64)):
+        ids = _common.span_ids(buf, starts, ends, hasher)
+        assert len(set(ids.tolist())) == 5 and ids[0] == ids[2] and ids[3] == ids[4]
+
+
+def test_long_words_and_lines(spark):
+    for rounds in (10, 12, 13):
+        t, u = thue_morse(rounds)
+        df = spark.createDataFrame([(1, f"{t}\n{u}"), (2, f"{t} {u} {t}\n{t} {u} {t}"), (None, u)], "doc_id long, text string")
+        got = {r.doc_id: (r.n_words, r.n_dup_lines, r.n_repeat_words) for r in quality.score(df).collect()}
+        assert got == {1: (2, 0, 0), 2: (6, 1, 6), None: (1, 0, 0)}
+        bench = spark.createDataFrame([(7, t)], "item_id long, text string")
+        assert {r.doc_id: r.n_hit for r in decontamination.decontaminate(df, bench).collect()} == {1: 1, 2: 4, None: 0}
+
+
+def test_suffix_dedup_awkward(spark):
+    """Partitions of short texts alone; rows without doc_id; different texts under one id."""
+    short = spark.createDataFrame([(1, "short text"), (2, "x"), (3, None), (4, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(short).collect()) == [(1, 0), (2, 0), (3, 0), (4, 0)]
+    r = np.random.default_rng(7)
+    a, b, c = ("".join(map(chr, r.integers(97, 123, 150))) for _ in range(3))
+    rows = [(None, a), (None, b), (None, a), (3, a + b), (9, c), (9, "zz" + c), (9, c)]
+    got = sorted(((r.doc_id or 0), r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[:4] == [(0, 150, 0), (0, 150, 0), (0, 150, 0), (3, 300, 300)]
+    nine = got[4:]
+    assert [x[:2] for x in nine] == [(9, 150), (9, 150), (9, 152)] and sorted(x[2] for x in nine) in ([0, 0, 150], [0, 150, 150])
+
+
 def test_suffix_order_in_files(monkeypatch):
     """Columns in sequential files give the same order as columns in memory."""
     r = np.random.default_rng(3)
@@ -124,6 +169,33 @@ def test_language_held_out(spark):
     assert len(out) > 200 and np.mean([r.lang == r.lang_pred for r in out]) > 0.97
 
 
+def test_language_kernel():
+    """The folded weights against the kernel itself: landmarks, Nystroem ridge regression and scores in plain Python."""
+    some = [("the cat sat on the mat", "en"), ("a dog ran to the house", "en"), ("der Hund lief in das Haus", "de"), ("die Katze sass auf der Matte", "de"), ("le chat dort dans la maison", "fr")]
+    model = language_id.Model([t.encode() for t, _ in some], [k for _, k in some], landmarks=4)
+    spectrum = lambda t: {tuple(language_id.FOLD[np.frombuffer(t.encode(), np.uint8)][i : i + n].tolist()) for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1)}
+    kernel = lambda a, b: len(spectrum(a) & spectrum(b)) / (len(spectrum(a)) * len(spectrum(b))) ** 0.5
+    names = ["de", "en", "fr"]
+    marks = [some[i][0] for i in (2, 0, 4, 3)]  # by turns, languages in order
+    k_nm = np.asarray([[kernel(t, m) for m in marks] for t, _ in some])
+    k_mm = np.asarray([[kernel(a, m) for m in marks] for a in marks])
+    weight = np.asarray([1 / sum(k == j for _, j in some) / 3 for _, k in some])
+    target = np.asarray([[1.0 if k == n else -1.0 for n in names] for _, k in some])
+    alpha = np.linalg.solve(k_nm.T @ (k_nm * weight[:, None]) + language_id.RIDGE * k_mm / 4 + 1e-9 * np.eye(4), k_nm.T @ (target * weight[:, None]))
+    probes = ["the mat in the house", "das Haus und die Katze", "la maison", "xyz"]
+    (block,) = blocks([pa.record_batch([pa.array(range(4)), pa.array(probes)], names=["doc_id", "text"])])
+    got, scores = model.predict(block)
+    for k, text in enumerate(probes):
+        margins = np.asarray([kernel(text, m) for m in marks]) @ alpha
+        top = np.sort(margins)[::-1]
+        assert got[k] == names[int(margins.argmax())] and abs(scores[k] - np.clip((top[0] - max(top[1], -1)) / 2, 0, 1)) < 1e-4
+
+
+def test_toxicity_tokens():
+    assert toxicity.tokens("“ÉCOLE” — it's DON'T 12 Ünï… İx".encode()) == [w.encode() for w in ("école", "it's", "don't", "ünï", "İx")]
+    assert len(toxicity.folded("“İ—x".encode()).decode()) == 4
+
+
 def test_toxicity_held_out(spark, docs, empty):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     out = toxicity.op3_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").filter("held_out").collect()
