@@ -6,7 +6,8 @@ lengths (at most ``capacity`` numbers, however many documents there are):
 
 1. patterns: combinations of few lengths whose sum is the capacity or little less;
 2. non-negative least squares fits how often each pattern repeats to the histogram;
-3. the counts are rounded down and clipped to what is left of each length;
+3. the counts, or a share of them where that takes fewer sequences (``SHARES``),
+   are rounded down and clipped to what is left of each length;
 4. the residual lengths are packed best fit, longest first, with equal bins
    filled together.
 
@@ -120,32 +121,51 @@ def candidate_patterns(counts: np.ndarray, capacity: int, most: int = PATTERNS)
     return list(found)
 
 
+#: Shares of the fitted repeats that are tried; the one of fewest sequences is taken.  Rounding weighs most where counts are small.
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """(pattern, repeats) pairs that use up every length's count; and how many of them the fitted patterns gave."""
     left = counts.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
+    whole = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
     patterns = candidate_patterns(left, capacity)
-    if patterns:
-        present = np.flatnonzero(left)
-        row = np.full(capacity + 1, -1)
-        row[present] = np.arange(len(present))
-        cols = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
-        rows = row[np.concatenate([np.asarray(p) for p in patterns])]
-        fitted = np.floor(nnls(rows, cols, left[present].astype(float), len(patterns)) + 1e-3).astype(np.int64)
-        for j in np.argsort(-fitted, kind="stable"):
-            if fitted[j] <= 0:
-                break
-            need = np.bincount(patterns[j], minlength=capacity + 1)
-            used = np.flatnonzero(need)
-            times = int(min(fitted[j], (left[used] // need[used]).min()))
-            if times > 0:
-                left[used] -= times * need[used]
-                out.append((patterns[j], times))
-    n_fitted = len(out)
-    # Residuals, longest first into the fullest open bin with room; bins[r] holds contents with r ids of room.
+    if not patterns:
+        return whole + _best_fit(left, capacity), len(whole)
+    present = np.flatnonzero(left)
+    row = np.full(capacity + 1, -1)
+    row[present] = np.arange(len(present))
+    cols = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
+    rows = row[np.concatenate([np.asarray(p) for p in patterns])]
+    fitted = nnls(rows, cols, left[present].astype(float), len(patterns))
+    best: tuple[int, list, int] | None = None
+    for share in SHARES:
+        taken, rest = _repeated(patterns, np.floor(share * fitted + 1e-3).astype(np.int64), left, capacity)
+        made = taken + _best_fit(rest, capacity)
+        n = sum(times for _, times in made)
+        if best is None or n < best[0]:
+            best = (n, made, len(taken))
+    return whole + best[1], len(whole) + best[2]
+
+
+def _repeated(patterns: list[tuple[int, ...]], repeats: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """The patterns' repeats, clipped to what is there, and what they leave."""
+    left, out = counts.copy(), []
+    for j in np.argsort(-repeats, kind="stable"):
+        if repeats[j] <= 0:
+            break
+        need = np.bincount(patterns[j], minlength=capacity + 1)
+        used = np.flatnonzero(need)
+        times = int(min(repeats[j], (left[used] // need[used]).min()))
+        if times > 0:
+            left[used] -= times * need[used]
+            out.append((patterns[j], times))
+    return out, left
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Lengths packed longest first into the fullest open bin with room; bins[r] holds contents with r ids of room."""
     bins: dict[int, dict[tuple[int, ...], int]] = {}
     rooms = np.zeros(capacity + 1, np.int64)
     for length in np.flatnonzero(left)[::-1]:
@@ -170,8 +190,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple
             bins[room][new] = bins[room].get(new, 0) + take
             rooms[room] += take
             n -= take
-    out += [(p, n) for group in bins.values() for p, n in group.items()]
-    return out, n_fitted
+    return [(p, n) for group in bins.values() for p, n in group.items()]
 
 
 class Places:
