@@ -51,8 +51,8 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.chars = np.zeros(len(self.word_end), np.int64)
-        self.chars[list(vocabulary.values())] = [len(t.removesuffix("</w>")) for t in vocabulary]
+        self.n_bytes = np.zeros(len(self.word_end), np.int64)  # a token of a byte-level vocabulary has a character for each
+        self.n_bytes[list(vocabulary.values())] = [len(t.removesuffix("</w>")) for t in vocabulary]
         self._reset()
 
     def _reset(self) -> None:
@@ -92,8 +92,8 @@ class WordEncoder:
         if len(last) != ends.sum():  # not a vocabulary of this kind: encode alone
             return ids[:0], np.zeros(0, np.int64)
         bounds = last[np.cumsum(ends) - 1] + 1 if len(ends) else last
-        # Each word's ids have as many characters as the word, so no two errors that cancel pass.
-        if (np.cumsum(self.chars[ids])[bounds - 1] != np.cumsum([*map(len, plain)])).any():
+        # Each word's ids stand for as many bytes as the word has, so no two errors that cancel pass.
+        if (np.cumsum(self.n_bytes[ids])[bounds - 1] != np.cumsum([len(w.encode()) for w in plain])).any():
             return ids[:0], np.zeros(0, np.int64)
         return ids, np.diff(bounds, prepend=0)
 
