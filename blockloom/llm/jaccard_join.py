@@ -303,6 +303,16 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 SAME = ["set_a", "set_b", "size"]
+#: Bits of the filter that texts pass before they are dealt out; 64 a row, so at most 8 MB are broadcast.
+FILTER_BITS = 1 << 25
+
+
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose (doc_id, text_key) has its bit in a filter of wanted's (id, key): all of those, and by chance some others, more the fuller the filter."""
+    bit = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    bits = wanted.select(bit("id", "key").alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit & 63)))").alias("mask"))
+    at = rows.withColumn("bit", bit("doc_id", "text_key"))
+    return at.join(F.broadcast(bits), (F.expr("shiftright(bit, 6)") == F.col("word")) & F.expr("mask & shiftleft(1L, int(bit & 63)) != 0"), "left_semi").drop("bit")
 
 
 def _linked(texts: DataFrame, threshold: tuple[int, int], recall: float) -> tuple[DataFrame, DataFrame]:
@@ -317,7 +327,7 @@ def _linked(texts: DataFrame, threshold: tuple[int, int], recall: float) -> tupl
     units = units.withColumn("n_blocks", blocks_).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     compared = classes.join(units.select("node").distinct(), "node", "left_semi")
     wanted = compared.select(F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("key"))
-    standing = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_semi")
+    standing = _marked(texts, wanted).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_semi")
     with_sets = compared.join(_sets(standing), ["set_a", "set_b"]).select("node", "n_rows", "sig", "set")
     # Block k meets blocks 0..k as (j, k) and the later ones as (k, j).
     members = units.join(with_sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
