@@ -342,6 +342,18 @@ def test_word_encoding(rows):
     assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
 
 
+def test_word_encoding_together():
+    """Plain words, accented ones included, keep the shared encoding; ids that do not add up to a word's bytes fall back."""
+    encode = WordEncoder()
+    plain = ["ouéaieux", "le", "stlich", "größe", "naïve.", "x!!"]
+    ids, counts = encode._together(plain, np.asarray([1, 1, 1, 1, 2, 2]))
+    assert counts.sum() == len(ids) > 0
+    alone = [encode.tokenizer.encode(w, add_special_tokens=False).ids for w in plain]
+    assert ids.tolist() == [i for x in alone for i in x] and counts.tolist() == [*map(len, alone)]
+    encode.n_bytes[ids[0]] += 1
+    assert not len(encode._together(plain, np.asarray([1, 1, 1, 1, 2, 2]))[0])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
 def test_packing_plan(histogram):
@@ -434,6 +446,16 @@ def test_jaccard_join(docs, empty, dense, monkeypatch):
         assert jaccard_join.similarity_classes(docs).count() == docs.count() and jaccard_join.similarity_classes(empty).count() == 0
 
 
+def test_jaccard_filter(spark, monkeypatch):
+    """The filter lets every wanted row through, null ids too, however full it is."""
+    rows = spark.range(3000).selectExpr("if(id = 7, null, id) AS doc_id", "xxhash64(id) AS text_key")
+    wanted = rows.filter("doc_id IS NULL OR doc_id % 10 = 3").toDF("id", "key")
+    for size, most in ((1 << 25, 310), (64, 3000)):
+        monkeypatch.setattr(jaccard_join, "FILTER_BITS", size)
+        got = {r["doc_id"] for r in jaccard_join._marked(rows, wanted).collect()}
+        assert {None, *range(3, 3000, 10)} <= got and len(got) <= most
+
+
 def test_jaccard_join_by_row(spark):
     """Rows without doc_id, different texts under one id, and equal rows are rows of their own."""
     r = np.random.default_rng(4)
