@@ -55,10 +55,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark removes an execution's shuffle files at its end if this is set; else they stay until the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage, in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute df once and cut its lineage, in the shared folder.  The shuffle files that it took go at once: nothing reads them again."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # A frame takes the setting when it is made.
+        return df.select("*").checkpoint()
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
