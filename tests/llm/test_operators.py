@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from blockloom.llm import _common, decontamination, jaccard_join, language_id, license_scan, packing, preferences, quality, suffix_dedup, token_output, toxicity
 from blockloom.llm._common import blocks, components
@@ -559,3 +560,17 @@ def test_pipeline(spark, docs, empty):
         assert stage(spark, empty, SF).count() == 0
     assert {r.doc_id for r in P.STAGES[-1][1](spark, at, SF).collect()} == set(before)
     assert P.run(spark, SF).count() > 50
+
+
+def test_checkpoint_cuts_lineage_and_leaves_the_setting(spark):
+    before = spark.conf.get(_common._CLEANUP, None)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = _common.checkpoint(counts)
+    again = _common.checkpoint(kept.join(counts.withColumnRenamed("count", "n"), "k"))
+    # The frame that was cut, its source and what joins both can all be read more than once.
+    for _ in range(2):
+        assert kept.agg(F.sum("count")).first()[0] == counts.agg(F.sum("count")).first()[0] == 1000
+        assert again.filter("count = n").count() == 7
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get(_common._CLEANUP, None) == before
+    assert _common.checkpoint(spark.createDataFrame([], "a long, b long")).count() == 0
