@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 from ..chain import BlockRange, Segment, Size, canonical_chain, compaction_groups, joined, missing_ranges
 
 BLOCK = "_block_num"
-#: Compaction writes files of about so many bytes.
+#: Compaction writes files of so many bytes at most, about.
 FILE_BYTES = 256 << 20
+#: A task of a compaction sorts about so many bytes of rows at most, by their schema or four times their files.
+SORT_BYTES = 128 << 20
 
 
 class Files:
@@ -177,6 +179,11 @@ class Table:
     def _bytes(self, path: str) -> int:
         return sum(size for n, size, _ in self.files.list(path) if n.endswith(".parquet"))
 
+    def _parts(self, size: Size) -> int:
+        """How many files so much is written to, so that neither a file nor the sort of its rows is large."""
+        width = self.spark._jsparkSession.parseDataType(self.schema.json()).defaultSize()
+        return max(1, -(-size.bytes // FILE_BYTES), -(-max(size.rows * width, 4 * size.bytes) // SORT_BYTES))
+
     def append(self, df: DataFrame, blocks: BlockRange) -> Segment:
         """Commit rows of a range of blocks as one segment (an empty one too, so that its range counts as done)."""
         path, size, rows = self._write(df)
@@ -200,7 +207,7 @@ class Table:
         for group in groups:
             paths = [f"{self.files.root}/{s.path}" for s in group if s.size.bytes]
             df = self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-            path, size, _ = self._write(df, max(1, sum(s.size.bytes for s in group) // FILE_BYTES))
+            path, size, _ = self._write(df, self._parts(sum((s.size for s in group), Size())))
             now = time.time()
             made = joined(group, path, now)
             made = Segment(path, made.range, now, Size(made.size.blocks, made.size.rows, size, made.size.generation, made.size.created))
