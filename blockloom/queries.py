@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
-from .sources.store import scratch
+from .sources.store import TASK_BYTES, scratch
 from .tablequeries import TABLE_QUERIES
 
 STATIC = ("region", "nation", "customer", "supplier", "part", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -39,8 +39,10 @@ def block_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = scratch(spark, name)
-        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").selectExpr(f"{BLOCKS[name]} AS _block_num", "*")
-        dealt = rows.repartitionByRange(spark.sparkContext.defaultParallelism, "_block_num").sortWithinPartitions("_block_num")
+        read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        parts = -(-int(read._jdf.queryExecution().analyzed().stats().sizeInBytes()) // TASK_BYTES)  # the files' bytes
+        rows = read.selectExpr(f"{BLOCKS[name]} AS _block_num", "*")
+        dealt = rows.repartitionByRange(max(spark.sparkContext.defaultParallelism, parts), "_block_num").sortWithinPartitions("_block_num")
         dealt.write.option("compression", "zstd").parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])

@@ -32,6 +32,8 @@ BLOCK = "_block_num"
 FILE_BYTES = 256 << 20
 #: A task of a compaction sorts about so many bytes of rows at most, by their schema or four times their files.
 SORT_BYTES = 128 << 20
+#: Where only the bytes of compressed files are known, a task sorts the rows of so many at most, about.
+TASK_BYTES = 8 << 20
 
 
 class Files:

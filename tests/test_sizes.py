@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from blockloom import queries
 from blockloom.chain import BlockRange
 from blockloom.sources import store
 from blockloom.sources.store import Table
@@ -25,3 +26,16 @@ def test_compaction_sorts_bounded_shares(spark, tmp_path, monkeypatch):
     spans = sorted((a, b) for _, a, b in files)
     assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
     assert table.snapshot().agg(F.count("*"), F.sum("_block_num"), F.countDistinct("_block_num")).first() == (10_000, 49_995_000, 10_000)
+
+
+def test_block_tables_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    """Tables are laid down in as many ranges of blocks as their files ask for, not in one for each core."""
+    monkeypatch.setattr(queries, "TASK_BYTES", 4000, raising=False)
+    spark.range(20_000).selectExpr("id AS event_id", "timestamp_seconds(id * 600) AS ts", "xxhash64(id) AS user_id").write.parquet(str(tmp_path / "events.parquet"))
+    size = sum(f.stat().st_size for f in (tmp_path / "events.parquet").glob("*.parquet"))
+    table = queries.block_table(spark, str(tmp_path), "events")
+    files = by_file(table)
+    assert len(files) > 0.8 * size / 4000 > 4 * spark.sparkContext.defaultParallelism
+    spans = sorted((a, b) for _, a, b in files)
+    assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
+    assert sorted(r.event_id for r in table.select("event_id").collect()) == list(range(20_000))
