@@ -59,7 +59,7 @@ def test_joins_of_large_sides_are_dealt(spark, tmp_path, monkeypatch, name):
     """Joins of two large tables are dealt into parts by the files' sizes, in no case broadcast on an estimate, and give what plain SQL gives."""
     monkeypatch.setattr(planner, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(planner, "BROADCAST_BYTES", 4)
-    monkeypatch.setattr(planner, "TASK_BYTES", 3000, raising=False)
+    monkeypatch.setattr(planner, "PART_BYTES", 3000, raising=False)
     spark.range(3000).selectExpr("id * 7 % 12 AS _block_num", "CASE WHEN id % 50 > 0 THEN id END AS k", "id % 5 AS v").write.parquet(str(tmp_path / "a"))
     spark.range(9000).selectExpr("id * 5 % 12 AS _block_num", "CASE WHEN id % 40 > 0 THEN CAST(id % 2500 AS INT) END AS j", "id % 9 AS w").write.parquet(str(tmp_path / "b"))
     size = sum(f.stat().st_size for d in "ab" for f in (tmp_path / d).glob("*.parquet"))
